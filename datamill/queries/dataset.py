@@ -144,11 +144,11 @@ def _(spark, sf):
 
 
 @query("tag_sets", """
-SELECT source AS task, ['O'] || flatten(list_transform(labels, lambda x: ['B-' || x, 'I-' || x])) AS tags
+SELECT source AS task, array_to_string(['O'] || flatten(list_transform(labels, lambda x: ['B-' || x, 'I-' || x])), ' ') AS tags
 FROM (SELECT source, list_sort(list(DISTINCT lang)) AS labels FROM documents GROUP BY source)""")
 def _(spark, sf):
     labels = table(spark, sf, "documents").groupBy(F.col("source").alias("task")).agg(F.sort_array(F.collect_set("lang")).alias("labels"))
-    return labels.select("task", V.tag_set_column("labels").alias("tags"))
+    return labels.select("task", F.array_join(V.tag_set_column("labels"), " ").alias("tags"))
 
 
 @query("quality_filter", """

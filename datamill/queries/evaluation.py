@@ -320,7 +320,7 @@ def _(spark, sf):
 , w AS (SELECT id, pos, token, lower(token) AS low, lag(token, 1) OVER p AS p1, lag(token, 2) OVER p AS p2, lead(token, 1) OVER p AS n1, lead(token, 2) OVER p AS n2
   FROM sequences WINDOW p AS (PARTITION BY id ORDER BY pos)),
 c AS (SELECT *, string_split(regexp_replace(regexp_replace(regexp_replace(token, '[A-Z]', 'X', 'g'), '[a-z]', 'x', 'g'), '[0-9]', 'd', 'g'), '') AS ch FROM w)
-SELECT id, cast(pos AS integer) AS pos, list_filter([
+SELECT id, cast(pos AS integer) AS pos, array_to_string(list_filter([
   'w=' || low,
   'shape=' || array_to_string(list_filter(ch, lambda x, i: i = 1 OR ch[i - 1] <> x), ''),
   'pre2=' || substr(low, 1, 2), 'pre3=' || substr(low, 1, 3),
@@ -330,25 +330,25 @@ SELECT id, cast(pos AS integer) AS pos, list_filter([
   'digit=' || CASE WHEN regexp_matches(token, '[0-9]') THEN 'Y' ELSE 'N' END,
   'hyphen=' || CASE WHEN contains(token, '-') THEN 'Y' ELSE 'N' END,
   coalesce('pw=' || lower(p1), 'BOS'), 'bigram=' || lower(p1) || '|' || low, coalesce('nw=' || lower(n1), 'EOS'),
-  'ppw=' || lower(p2), 'nnw=' || lower(n2)], lambda x: x IS NOT NULL) AS features FROM c""")
+  'ppw=' || lower(p2), 'nnw=' || lower(n2)], lambda x: x IS NOT NULL), ' ') AS features FROM c""")
 def _(spark, sf):
     rows = Q.token_rows(sequences(spark, sf))
     cols = [F.col(c) for c in ("token", "prev1", "prev2", "next1", "next2")]
-    return rows.select("id", "pos", Q.token_features(*cols).alias("features"))
+    return rows.select("id", "pos", F.array_join(Q.token_features(*cols), " ").alias("features"))
 
 
 @query("text_features", with_views(EXAMPLES) + r"""
 , b AS (SELECT id, text, lower(text) AS low, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') AS w FROM examples)
-SELECT id, list_concat(list_concat(list_transform(w, lambda x: 'w=' || x),
+SELECT id, array_to_string(list_concat(list_concat(list_transform(w, lambda x: 'w=' || x),
     list_transform(range(1, len(w)), lambda i: 'bi=' || w[i] || '|' || w[i + 1])),
   list_concat(list_transform(range(1, least(length(low), 200) - 1), lambda i: 'c3=' || substr(low, i, 3)),
   list_filter(['wc=' || least(len(w), 50), 'cc=' || least(length(text), 500),
    'punct=' || least(len(regexp_extract_all(text, '[!?.,:;]')), 20),
    'capr=' || CASE WHEN length(text) > 0 THEN cast(floor(len(regexp_extract_all(text, '[A-Z]')) / length(text)::double * 10 + 0.5) AS bigint) ELSE 0 END,
    CASE WHEN regexp_matches(text, '[0-9]') THEN 'has_digit' END, CASE WHEN contains(text, '!') THEN 'has_excl' END,
-   CASE WHEN contains(text, '?') THEN 'has_q' END], lambda x: x IS NOT NULL))) AS features FROM b""")
+   CASE WHEN contains(text, '?') THEN 'has_q' END], lambda x: x IS NOT NULL))), ' ') AS features FROM b""")
 def _(spark, sf):
-    return spread(examples(spark, sf)).select("id", text_features("text").alias("features"))
+    return spread(examples(spark, sf)).select("id", F.array_join(text_features("text"), " ").alias("features"))
 
 
 @query("cosine_to_next", """
