@@ -115,12 +115,13 @@ def number_rows(df: DataFrame, id: str = "id") -> DataFrame:
     """Adds ``row_no``, the 0-based position by (numeric) id, without sorting in one task.
 
     Ids are put into buckets at approximate quantiles, numbered inside each bucket, and moved up
-    by the number of rows in earlier buckets. That table has at most BUCKETS rows, so it is sent
-    to all tasks.
+    by the number of rows in earlier buckets. That table has a row per bucket, a few per core, so
+    it is sent to all tasks.
     """
     value = F.col(id).cast("double")
-    quantiles = [i / BUCKETS for i in range(1, BUCKETS)]
-    ends = sorted(set(df.agg(F.percentile_approx(value, quantiles, 100_000).alias("q")).first()["q"] or []))
+    buckets = min(BUCKETS, 4 * df.sparkSession.sparkContext.defaultParallelism)
+    quantiles = [i / buckets for i in range(1, buckets)]
+    ends = sorted(set(df.agg(F.percentile_approx(value, quantiles).alias("q")).first()["q"] or []))
     placed = df.withColumn("_v", value)
     splits = [float("-inf"), *[float(e) for e in ends], float("inf")]
     placed = Bucketizer(splits=splits, inputCol="_v", outputCol="_b").transform(placed).drop("_v") if ends else (
