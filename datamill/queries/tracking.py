@@ -42,7 +42,8 @@ def _(spark, sf):
 
 
 @query("compare_experiments", LOG + """
-, n AS (SELECT *, lag(id) OVER (PARTITION BY task ORDER BY id) AS before FROM experiments)
+, top AS (SELECT task, id AS best FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY accuracy DESC, id) AS r FROM experiments) WHERE r = 1),
+n AS (SELECT e.*, best FROM experiments e JOIN top USING (task) WHERE id <> best)
 SELECT a.id AS a, b.id AS b, round(b.accuracy - a.accuracy, 6) AS accuracy_delta, a.data_hash = b.data_hash AS same_data, a.algorithm = b.algorithm AS same_algorithm,
   b.train_size - a.train_size AS train_size_delta, array_to_string(list_filter([
     CASE WHEN a.algorithm <> b.algorithm THEN 'algorithm: ' || a.algorithm || ' → ' || b.algorithm END,
@@ -50,14 +51,11 @@ SELECT a.id AS a, b.id AS b, round(b.accuracy - a.accuracy, 6) AS accuracy_delta
     CASE WHEN a.feature_mode <> b.feature_mode THEN 'features: ' || a.feature_mode || ' → ' || b.feature_mode END,
     CASE WHEN a.train_size <> b.train_size THEN 'train size: ' || a.train_size || ' → ' || b.train_size END,
     CASE WHEN a.hyperparams <> b.hyperparams THEN 'hyperparams changed' END], lambda x: x IS NOT NULL), '; ') AS changes
-FROM n b JOIN experiments a ON a.id = b.before""")
+FROM n b JOIN experiments a ON a.id = b.best""")
 def _(spark, sf):
-    from pyspark.sql import Window
-
     log = experiments(spark, sf)
-    # Runs are compared with the run before them. Ranges of ids keep the windows small.
-    last = F.lag("id").over(Window.partitionBy("task").orderBy("id"))
-    pairs = log.select(last.alias("a"), F.col("id").alias("b")).where("a IS NOT NULL")
+    top = E.best(log).select("task", F.col("id").alias("a"))
+    pairs = log.select("task", F.col("id").alias("b")).join(top, "task").where("a <> b").select("a", "b")
     out = E.compare_pairs(log, pairs)
     return out.withColumn("accuracy_delta", F.round("accuracy_delta", 6)).withColumn("changes", F.array_join("changes", "; "))
 
