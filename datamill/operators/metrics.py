@@ -130,14 +130,14 @@ def regression_metrics(df: DataFrame, value: str = "value", score: str = "score"
     err = F.col(score) - F.col(value)
     sums = df.agg(
         F.count("*").alias("n"), F.avg(err * err).alias("mse0"), F.avg(F.abs(err)).alias("mae0"),
-        F.corr(value, score).alias("corr0"), F.var_pop(value).alias("var0"), F.var_pop(score).alias("var1"),
+        F.covar_pop(value, score).alias("cov0"), F.var_pop(value).alias("var0"), F.var_pop(score).alias("var1"),
     )
     zero = F.lit(0.0)
     usable = (F.col("var0") > 0) & (F.col("var1") > 0)
     return sums.select(
         "n", F.coalesce("mse0", zero).alias("mse"), F.coalesce("mae0", zero).alias("mae"),
         F.coalesce(F.sqrt("mse0"), zero).alias("rmse"),
-        F.when(usable, F.col("corr0")).otherwise(zero).alias("correlation"),
+        F.when(usable, F.col("cov0") / F.sqrt(F.col("var0") * F.col("var1"))).otherwise(zero).alias("correlation"),
         F.when(F.col("n") > 0, F.when(F.col("var0") > 0, 1 - F.col("mse0") / F.col("var0")).otherwise(zero)).alias("r2"),
     )
 

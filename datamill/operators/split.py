@@ -18,41 +18,47 @@ from datamill.functions.hashing import draw
 BUCKETS = 4096
 
 
-def _keys(df: DataFrame, place: Column, id: str, strata: list[str]) -> DataFrame:
-    """(strata, u, id, bucket) for placements in [0, 1)."""
+def _stratum(by: list[str]) -> Column:
+    """The stratum of a row as text, so that null is a stratum like any other."""
+    return F.to_json(F.struct(*by)) if by else F.lit("")
+
+
+def _keys(df: DataFrame, place: Column, id: str, by: list[str]) -> DataFrame:
+    """(stratum, u, id, bucket) for placements in [0, 1)."""
     return df.select(
-        *strata, place.alias("_u"), F.col(id).alias("_id"), F.floor(place * BUCKETS).cast("int").alias("_b")
+        _stratum(by).alias("_s"), place.alias("_u"), F.col(id).alias("_id"), F.floor(place * BUCKETS).cast("int").alias("_b")
     )
 
 
-def _offsets(keys: DataFrame, strata: list[str]) -> DataFrame:
+def _offsets(keys: DataFrame) -> DataFrame:
     """Rows before each bucket and in all, per stratum; at most BUCKETS rows per stratum."""
-    counts = keys.groupBy(*strata, "_b").agg(F.count("*").alias("_n"))
-    whole = Window.partitionBy(*strata)
+    counts = keys.groupBy("_s", "_b").agg(F.count("*").alias("_n"))
+    whole = Window.partitionBy("_s")
     before = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     return counts.select(
-        *strata, "_b", "_n",
+        "_s", "_b", "_n",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
         F.sum("_n").over(whole).alias("_total"),
     )
 
 
-def _cuts(df: DataFrame, place: Column, id: str, strata: list[str], wanted: Column) -> DataFrame:
+def _cuts(df: DataFrame, place: Column, id: str, by: list[str], wanted: Column) -> DataFrame:
     """Per stratum the sorted (u, id) of the rows at the wanted 0-based ranks (an array of ranks)."""
-    keys = _keys(df, place, id, strata)
+    keys = _keys(df, place, id, by)
     at = (
-        _offsets(keys, strata)
+        _offsets(keys)
         .withColumn("_rank", F.explode(wanted))
         .where("_rank >= _before AND _rank < _before + _n")
-        .select(*strata, "_b", (F.col("_rank") - F.col("_before") + 1).alias("_rn"))
+        .select("_s", "_b", (F.col("_rank") - F.col("_before") + 1).alias("_rn"))
     )
-    within = Window.partitionBy(*strata, "_b").orderBy("_u", "_id")
-    ranked = keys.join(at.select(*strata, "_b").distinct(), [*strata, "_b"], "left_semi").withColumn(
+    within = Window.partitionBy("_s", "_b").orderBy("_u", "_id")
+    ranked = keys.join(at.select("_s", "_b").distinct(), ["_s", "_b"], "left_semi").withColumn(
         "_rn", F.row_number().over(within)
     )
-    found = ranked.join(at, [*strata, "_b", "_rn"])
+    found = ranked.join(at, ["_s", "_b", "_rn"])
     cut = F.struct(F.col("_u").alias("u"), F.col("_id").alias("id"))
-    return found.groupBy(*strata).agg(F.sort_array(F.collect_list(cut)).alias("_cuts"))
+    cuts = F.sort_array(F.collect_list(cut)).alias("_cuts")
+    return found.groupBy("_s").agg(cuts) if by else found.agg(cuts)
 
 
 def split(df: DataFrame, ratio: float = DEFAULT_SPLIT_RATIO, id: str = "id", salt: str = "split") -> DataFrame:
@@ -71,7 +77,7 @@ def ordered_split(df: DataFrame, ratio: float = DEFAULT_SPLIT_RATIO, id: str = "
 
 def _split(df: DataFrame, place: Column, ratio: float, id: str) -> DataFrame:
     size = F.floor(F.col("_total") * F.lit(ratio)).cast("bigint")
-    cut = _cuts(df, place, id, [], F.array(size)).select(F.element_at("_cuts", 1)).scalar()
+    cut = _cuts(df, place, id, [], F.array(size)).select(F.get("_cuts", 0)).scalar()
     here = F.struct(place.alias("u"), F.col(id).alias("id"))
     return df.withColumn("is_train", F.coalesce(here < cut, F.lit(True)))
 
@@ -82,10 +88,10 @@ def stratified_split(
     """Adds ``is_train``: floor(n * ratio) rows of every stratum."""
     place = draw(id, salt)
     size = F.floor(F.col("_total") * F.lit(ratio)).cast("bigint")
-    cuts = _cuts(df, place, id, [by], F.array(size)).select(F.col(by).alias("_by"), F.element_at("_cuts", 1).alias("_cut"))
+    cuts = _cuts(df, place, id, [by], F.array(size)).select("_s", F.get("_cuts", 0).alias("_cut"))
     here = F.struct(place.alias("u"), F.col(id).alias("id"))
-    joined = df.join(cuts, df[by].eqNullSafe(cuts["_by"]), "left")
-    return joined.withColumn("is_train", F.coalesce(here < F.col("_cut"), F.lit(True))).drop("_by", "_cut")
+    joined = df.withColumn("_s", _stratum([by])).join(cuts, "_s", "left")
+    return joined.withColumn("is_train", F.coalesce(here < F.col("_cut"), F.lit(True))).drop("_s", "_cut")
 
 
 def hash_split(df: DataFrame, ratio: float = DEFAULT_SPLIT_RATIO, id: str = "id", salt: str = "split") -> DataFrame:
