@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from datamill.functions import fixed_values as V
 from datamill.functions.prompts import fill, fixed2, percent
@@ -43,8 +43,8 @@ def ask(requests: DataFrame, call: Callable[[list[str]], list[str]], prompt: str
                 answers = [one(t) for t in texts]
             yield pdf.assign(response=answers)
 
-    schema = requests.schema.add("response", "string") if "response" not in requests.columns else requests.schema
-    return requests.mapInPandas(run, schema)
+    plain = requests.drop("response")
+    return plain.mapInPandas(run, T.StructType([*plain.schema.fields, T.StructField("response", T.StringType())]))
 
 
 def array_text(response: Column | str) -> Column:

@@ -39,7 +39,7 @@ def slot_arrays(tokens: Column | str, slots: int = SLOTS) -> Column:
         feats = token_features(x["token"], x["p1"], x["p2"], x["n1"], x["n2"])
         return F.transform(feats, lambda f: F.pmod(F.xxhash64(f), F.lit(slots)).cast("int"))
 
-    return F.slice(F.transform(zipped, hashed), F.lit(1), F.greatest(n, F.lit(1)))
+    return F.slice(F.transform(zipped, hashed), F.lit(1), n)
 
 
 def _emissions(weights: np.ndarray, feats: list) -> np.ndarray:
