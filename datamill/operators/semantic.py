@@ -130,7 +130,7 @@ def semantic_duplicates(df: DataFrame, threshold: float = 0.92, order: str = "id
     def pairs(rest: DataFrame) -> DataFrame:
         return cells.pairs(rest).select("lo", "hi")
 
-    return first_wins(cells.placed(), cells.verify, pairs).unionByName(same)
+    return first_wins(cut_lineage(cells.placed()), cells.verify, pairs).unionByName(same)
 
 
 def semantic_deduplicate(df: DataFrame, threshold: float = 0.92, order: str = "id", embedding: str = "embedding") -> DataFrame:

@@ -56,10 +56,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give heavy per-row work at least one partition per core.
+    """Give heavy per-row work on a few files at least one partition per core.
 
-    A file with a single row group is read as one partition; a table of many splits already
-    has enough and is left as it is, so large inputs pay no extra shuffle.
+    A file with a single row group is read as one partition. A table of many files has enough of
+    them and is left as it is, so large inputs pay no extra shuffle; nothing is run to find out.
     """
     want = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
+    return df.repartition(want) if 0 < len(df.inputFiles()) < want else df

@@ -105,10 +105,11 @@ def test_similar_sets_share_enough_keys(a, flips, t):
     ends = D.size_classes(t)
     entries = []
     for s in (a, b):
-        key, up, need = D.part_keys(np.array(sorted(s), dtype=np.int64), t, ends)
-        entries.append({(int(k), bool(u)): int(n) for k, u, n in zip(key, up, need)})
+        grams = np.array(sorted(s), dtype=np.int64)
+        found = [(D.part_keys(grams, t, ends, up), up) for up in (False, True)]
+        entries.append({(int(k), up): need for (keys, need), up in found for k in keys})
     x, y = entries
-    shared = [(ku, kv) for ku in x for kv in y if ku[0] == kv[0] and not (ku[1] and kv[1])]
+    shared = [(p, q) for p in x for q in y if p[0] == q[0] and not (p[1] and q[1])]
     assert shared
     assert len(shared) >= max(max(x[p], y[q]) for p, q in shared)
 
