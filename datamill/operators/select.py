@@ -143,3 +143,21 @@ def select_examples(strategy: str, df: DataFrame, task_type: str = "classificati
             raise ValueError("the similar strategy needs a query")
         return select_similar(df, query, k, id)
     raise ValueError(f"unknown strategy: {strategy}")
+
+
+def candidate_sets(
+    df: DataFrame, task_type: str = "classification", k: int = 5,
+    strategies: tuple[str, ...] = ("random", "balanced", "diverse"), random_trials: int = 3, id: str = "id",
+) -> DataFrame:
+    """Demonstration sets to compare, with the name of their ``strategy``; random ones several times."""
+    parts = []
+    for name in strategies:
+        if name == "random":
+            parts += [(f"random_{t}", select_random(df, k, id, f"random_{t}")) for t in range(1, random_trials + 1)]
+        else:
+            parts.append((name, select_examples(name, df, task_type, k, id=id)))
+    tagged = [part.select(*df.columns, F.lit(name).alias("strategy")) for name, part in parts]
+    out = tagged[0]
+    for part in tagged[1:]:
+        out = out.unionByName(part)
+    return out
