@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from datamill.llm import line_dedup, mixing, pieces, sharding
+from datamill.llm import line_dedup, mixing, near_dup, pieces, sharding, toxicity
+from datamill.llm.common import held_out
 from datamill.queries.views import table
 
 QUERIES, SQL = {}, {}
@@ -91,3 +92,16 @@ def _(spark, sf):
 @query("op8_pieces")
 def _(spark, sf):
     return pieces.token_digests(table(spark, sf, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query("op6_minhash")
+def _(spark, sf):
+    return near_dup.near_duplicates(table(spark, sf, "documents"))
+
+
+@query("op1_toxicity")
+def _(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf, "labels"))
+    scored = toxicity.score(docs, model).withColumn("held_out", held_out("doc_id"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
