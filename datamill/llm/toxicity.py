@@ -242,7 +242,7 @@ def without_near_copies(sample: DataFrame) -> DataFrame:
 def choose_terms(sample: DataFrame) -> tuple[list[str], list[str]]:
     """Terms and stems. At least SUPPORT of the toxic texts hold them, LIFT times their share among the others.
 
-    A stem must be held twice to count, and holding it once must not be enough; of stems that begin each other
+    A stem must begin two words of a text to count, and beginning one must not be enough; of stems that begin each other
     the best stays. Words of such a stem are no terms.
     """
     rows = without_near_copies(sample)
@@ -265,7 +265,7 @@ def choose_terms(sample: DataFrame) -> tuple[list[str], list[str]]:
 
     begins = F.explode(F.array(*[F.when(F.length("word") >= n, F.substring("word", 1, n)) for n in STEMS]))
     begun = held.select("doc", "label", "times", begins.alias("stem")).where("stem IS NOT NULL")
-    begun = begun.groupBy("doc", "label", "stem").agg(F.sum("times").alias("times"))
+    begun = begun.groupBy("doc", "label", "stem").agg(F.count("*").alias("times"))
     stems: list[str] = []
     for r in counted(begun, "stem", twice=True).limit(TERMS).collect():
         if not any(r["stem"].startswith(s) or s.startswith(r["stem"]) for s in stems):
