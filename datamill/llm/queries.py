@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from datamill.llm import line_dedup, mixing, near_dup, pieces, sharding, toxicity
+from datamill.llm import line_dedup, mixing, near_dup, pieces, quality, sharding, toxicity
 from datamill.llm.common import held_out
 from datamill.queries.views import table
 
@@ -105,3 +105,11 @@ def _(spark, sf):
     model = toxicity.train(docs, table(spark, sf, "labels"))
     scored = toxicity.score(docs, model).withColumn("held_out", held_out("doc_id"))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op3_quality")
+def _(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    weights = quality.train(docs, table(spark, sf, "labels"))
+    scored = quality.score(docs, weights).withColumn("held_out", held_out("doc_id"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
