@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from datamill.llm import line_dedup, mixing, near_dup, pieces, quality, sharding, toxicity
+from datamill.llm import inner_product, line_dedup, mixing, near_dup, pieces, projected_nn, quality, sharding, toxicity, warc
 from datamill.llm.common import held_out
 from datamill.queries.views import table
 
@@ -113,3 +113,41 @@ def _(spark, sf):
     weights = quality.train(docs, table(spark, sf, "labels"))
     scored = quality.score(docs, weights).withColumn("held_out", held_out("doc_id"))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op2_projected_nn")
+def _(spark, sf):
+    return projected_nn.nearest(table(spark, sf, "embeddings"))
+
+
+INNER_SQL = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.w, c.w)::bigint AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, rank::int AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
+
+
+@query("op5_inner_product", INNER_SQL)
+def _(spark, sf):
+    return inner_product.largest_products(table(spark, sf, "embeddings"))
+
+
+WARC_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html))::bigint AS payload_bytes, sha1(html) AS payload_digest FROM p),
+r AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS last FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id IS DISTINCT FROM last AND last IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to
+FROM r"""
+
+
+@query("op9_warc", WARC_SQL)
+def _(spark, sf):
+    found = warc.archive_and_read(table(spark, sf, "pages")).where("kind = 'record'")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
