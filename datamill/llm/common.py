@@ -30,6 +30,17 @@ def text_of(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def packed(docs: DataFrame, **own: Column) -> DataFrame:
+    """The whole row as the struct ``row`` beside the columns in ``own``, so that no name of ``docs`` can clash."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *[c.alias(name) for name, c in own.items()])
+
+
+def unpacked(rows: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns of the packed rows, with those in ``new`` in their place or behind them."""
+    kept = [new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in columns]
+    return rows.select(*kept, *[c.alias(name) for name, c in new.items() if name not in columns])
+
+
 def null_key(c: Column | str) -> Column:
     """A string key under which null is a value of its own, so that joins and groups agree on it."""
     c = F.col(c) if isinstance(c, str) else c
@@ -54,4 +65,5 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, k
         part = marks.where(F.col("_label") == value).orderBy(F.xxhash64(key), key).limit(rows)
         picked = part if picked is None else picked.unionByName(part)
     ids = written(picked.withColumnRenamed(key, "_id"), "labelled")
-    return docs.join(ids, docs[key] == ids["_id"]).select(text_of(docs[text]).alias("text"), F.col("_label").alias("label"))
+    texts = docs.select(docs[key].alias("_key"), text_of(docs[text]).alias("text"))
+    return texts.join(ids, texts["_key"] == ids["_id"]).select("text", F.col("_label").alias("label"))

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from datamill.llm.common import SPACE, null_key, text_of, written
+from datamill.llm.common import SPACE, null_key, packed, text_of, unpacked, written
 
 RATIO = 0.1
 MIN_PAGES = 10
@@ -49,24 +49,23 @@ def boilerplate_lines(docs: DataFrame, site: str = "source", text: str = "text",
 
 
 def drop_boilerplate(docs: DataFrame, site: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, whole: float = WHOLE) -> DataFrame:
-    """All rows and columns with ``text`` cleaned, plus the ints n_lines and n_dropped.
+    """All rows and columns with ``text`` cleaned, plus the ints n_lines and n_dropped (in place of columns of these names).
 
     A page of which boilerplate lines make up more than ``whole`` of the characters is a copy of other pages
     rather than a page with boilerplate: it is left to the near-duplicate operator and stays as it is.
     A null text stays null with no lines; an empty text has one blank line; repeated rows are cleaned alike.
     """
     found = written(boilerplate_lines(docs, site, text, ratio, min_pages).select(F.col("site_key").alias("_site"), F.col("lines").alias("_often")), "boilerplate")
-    joined = docs.join(found, null_key(docs[site]) == found["_site"], "left")
-    lines = F.split(docs[text], "\n")
-    marked = F.transform(lines, lambda x: F.struct(x.alias("line"), F.array_contains(F.col("_often"), _digest(x)).alias("often")))
-    size = lambda rows: F.aggregate(rows, F.lit(0), lambda n, x: n + F.length(x["line"]))
-    often = F.filter("_marked", lambda x: x["often"])
-    drop = F.size("_marked") > F.size(F.filter("_marked", lambda x: ~x["often"]))
-    drop = F.coalesce(drop & (size(often) <= size(F.col("_marked")) * F.lit(whole)), F.lit(False))
-    cleaned = F.array_join(F.transform(F.filter("_marked", lambda x: ~x["often"]), lambda x: x["line"]), "\n")
-    rows = joined.withColumn("_marked", F.when(F.col("_often").isNotNull(), marked)).withColumn("_drop", drop)
-    return rows.select(
-        *[F.when(F.col("_drop"), cleaned).otherwise(docs[c]).alias(c) if c == text else docs[c] for c in docs.columns],
-        F.when(docs[text].isNull(), 0).otherwise(F.size(lines)).alias("n_lines"),
-        F.when(F.col("_drop"), F.size(often)).otherwise(0).alias("n_dropped"),
+    rows = packed(docs, site=null_key(docs[site]), lines=F.split(docs[text], "\n")).join(found, F.col("site") == found["_site"], "left")
+    marked = F.transform("lines", lambda x: F.struct(x.alias("line"), F.array_contains(F.col("_often"), _digest(x)).alias("often")))
+    rows = rows.withColumn("marked", F.when(F.col("_often").isNotNull(), marked))
+    size = lambda lines: F.aggregate(lines, F.lit(0), lambda n, x: n + F.length(x["line"]))
+    often, other = F.filter("marked", lambda x: x["often"]), F.filter("marked", lambda x: ~x["often"])
+    drop = F.coalesce((F.size(often) > 0) & (size(often) <= size(F.col("marked")) * F.lit(whole)), F.lit(False))
+    rows = rows.withColumn("dropping", drop)
+    cleaned = F.array_join(F.transform(other, lambda x: x["line"]), "\n")
+    return unpacked(
+        rows, docs.columns,
+        **{text: F.when(F.col("dropping"), cleaned).otherwise(F.col("row").getField(text))},
+        n_lines=F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")), n_dropped=F.when(F.col("dropping"), F.size(often)).otherwise(0),
     )

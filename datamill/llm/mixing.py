@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from datamill.functions.hashing import draw
-from datamill.llm.common import WORD, null_key, text_of, written
+from datamill.llm.common import WORD, null_key, packed, text_of, unpacked, written
 
 SHARE, EPOCHS, PATTERN, SEED = 1.5, 2.0, (5, 2, 1), "mix"
 BUCKET_ROWS = 5000
@@ -120,6 +120,7 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     # Rows that can't be told apart share their repetitions evenly, rounded up.
     chosen = written(chosen.select("_pick", "_source", "_size", F.ceil(F.col("_times") / F.col("_rows")).cast("int").alias("_n")), "mix")
     pick = F.coalesce(docs[key].cast("string"), F.md5(text_of(docs[text])))
-    on = (pick == chosen["_pick"]) & (null_key(docs[source]) == chosen["_source"]) & (words_in(docs[text]) == chosen["_size"])
-    rows = docs.join(chosen.where("_n > 0"), on)
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*[docs[c] for c in docs.columns])
+    rows = packed(docs, pick=pick, from_source=null_key(docs[source]), size=words_in(docs[text]))
+    on = (F.col("pick") == F.col("_pick")) & (F.col("from_source") == F.col("_source")) & (F.col("size") == F.col("_size"))
+    rows = rows.join(chosen.where("_n > 0"), on)
+    return unpacked(rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))), docs.columns)

@@ -92,23 +92,34 @@ def near_cells(tree: Tree, q: np.ndarray, reach: np.ndarray) -> list[np.ndarray]
     return out
 
 
+def distances(v: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances; where squares leave the range of doubles, differences are scaled first."""
+    difference = v - q
+    with np.errstate(over="ignore"):
+        found = np.sqrt((difference**2).sum(1))
+    for i in np.nonzero(np.isinf(found))[0]:
+        most = np.abs(difference[i]).max()
+        found[i] = most * np.sqrt(((difference[i] / most) ** 2).sum()) if np.isfinite(most) else np.inf
+    return found
+
+
 def _kernel(k: int, certainty: float, m: int):
     quantile = chi_square_quantile(certainty, m)
 
     def run(block: pd.DataFrame, asked: pd.DataFrame) -> Iterator[tuple]:
         ids, v, p = block["id"].to_numpy(), matrix(block["v"]), matrix(block["p"])
         for qid, qv, qp, bound in zip(asked["id"].to_numpy(), matrix(asked["v"]), matrix(asked["p"]), asked["bound"].to_numpy()):
-            away = ((p - qp) ** 2).sum(1)
-            away[ids == qid] = np.inf
-            order = np.argsort(away, kind="stable")
-            order = order[:np.searchsorted(away[order], np.inf)]
+            with np.errstate(over="ignore"):
+                away = ((p - qp) ** 2).sum(1)
+            order = np.nonzero(ids != qid)[0]
+            order = order[np.argsort(away[order], kind="stable")]
             found, scores = np.empty(0, np.int64), np.empty(0)
             for start in range(0, len(order), STEP):
                 # The test: what is still unseen is nearer than the bound with a probability below 1 - certainty.
                 if away[order[start]] > quantile * bound**2:
                     break
                 take = order[start:start + STEP]
-                distance = np.sqrt(((v[take] - qv) ** 2).sum(1))
+                distance = distances(v[take], qv)
                 found, scores = np.concatenate([found, take]), np.concatenate([scores, distance])
                 keep = top(scores, ids[found], k, largest=False)
                 found, scores = found[keep], scores[keep]

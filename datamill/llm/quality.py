@@ -19,9 +19,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from datamill.llm.common import text_of, training_sample, written
+from datamill.llm.common import packed, text_of, training_sample, unpacked, written
 
 SAMPLE = 3000  # labelled texts of each class that are learned from
 BUCKETS, SIZE = 1 << 16, 8
@@ -172,17 +172,15 @@ class Scorer:
 
 
 def score(docs: DataFrame, weights: dict, text: str = "text", out: str = "score") -> DataFrame:
-    """All rows and columns plus the double ``out``: how likely the whole text is of class 1. Null counts as empty."""
+    """All rows and columns plus the double ``out`` (in place of a column of this name): how likely the whole text is of class 1. Null counts as empty."""
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps({k: v.astype(np.float32) for k, v in weights.items()}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(pickle.loads(sent.value))
         for batch in batches:
-            place = batch.schema.names.index("_text")
-            values = [scorer(t.as_py()) for t in batch.column(place)]
-            names = [n for n in batch.schema.names if n != "_text"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i, n in enumerate(batch.schema.names) if n != "_text"], pa.array(values, pa.float64())], [*names, out])
-
-    kept = [c for c in docs.columns if c != out]
-    rows = docs.select(*[docs[c] for c in kept], text_of(docs[text]).alias("_text"))
-    return rows.mapInArrow(run, docs.select(*[docs[c] for c in kept]).schema.add(out, "double"))
+            values = [scorer(t.as_py()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64())], ["row", "score"])
+
+    rows = packed(docs, text=text_of(docs[text]))
+    scored = rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
+    return unpacked(scored, docs.columns, **{out: F.col("score")})

@@ -22,10 +22,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from datamill.llm import near_dup
-from datamill.llm.common import text_of, training_sample, written
+from datamill.llm.common import packed, text_of, training_sample, unpacked, written
 
 SAMPLE = 5000  # labelled texts of each class that are learned from
 TERMS = 200  # largest lexicon
@@ -327,23 +327,20 @@ def probability(text: str | None, model: Model, matcher: Matcher) -> float:
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
-    """All rows and columns plus the double ``out``: how likely the whole text is toxic."""
-    weights = model
+    """All rows and columns plus the double ``out`` (in place of a column of this name): how likely the whole text is toxic."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = _kept_matcher(weights)
+        matcher = _kept_matcher(model)
         for batch in batches:
-            place = batch.schema.names.index("_text")
-            values = [probability(t.as_py(), weights, matcher) for t in batch.column(place)]
-            names = [n for n in batch.schema.names if n != "_text"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i, n in enumerate(batch.schema.names) if n != "_text"], pa.array(values, pa.float64())], [*names, out])
+            values = [probability(t.as_py(), model, matcher) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64())], ["row", "score"])
 
-    kept = [c for c in docs.columns if c != out]
-    rows = docs.select(*[docs[c] for c in kept], text_of(docs[text]).alias("_text"))
-    schema = docs.select(*[docs[c] for c in kept]).schema.add(out, "double")
-    return rows.mapInArrow(run, schema)
+    rows = packed(docs, text=text_of(docs[text]))
+    scored = rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
+    return unpacked(scored, docs.columns, **{out: F.col("score")})
 
 
 def drop_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows whose text scores below ``threshold``, with their own columns."""
-    return score(docs, model, text, "_score").where(F.col("_score") < threshold).drop("_score")
+    scored = score(packed(docs, text=docs[text]), model, "text", "score")
+    return unpacked(scored.where(F.col("score") < threshold), docs.columns)
