@@ -29,8 +29,8 @@ GRIDS = {
     "svm": {"C": [0.01, 0.1, 1.0, 10.0], "max_iter": [500, 1000]},
     "random_forest": {"n_estimators": [50, 100, 200], "max_depth": [0, 10, 20]},
 }
-# Trees of unlimited depth are not offered by Spark ML; depth 0 means this depth.
-DEEPEST = 12
+# Trees of unlimited depth are not offered by Spark ML; depth 0 means this depth, the deepest Spark allows.
+DEEPEST = 30
 
 
 @dataclass
@@ -60,16 +60,23 @@ def with_vector(df: DataFrame, embedding: str = "embedding", output: str = "_vec
     return df.withColumn(output, array_to_vector(F.col(embedding).cast("array<double>")))
 
 
-def reduce_stages(method: str, components: int, input: str = "_vector", output: str = "features") -> list:
+def fit_reduction(rows: DataFrame, method: str, components: int, input: str = "_vector", output: str = "features") -> PipelineModel:
     """Leading directions of the data; ``pca`` removes the mean first, ``svd`` does not.
 
     The matrix of products has one row and column per dimension of the embedding, whatever the
-    number of rows.
+    number of rows. There are at most as many directions as dimensions and rows.
     """
     if method not in ("pca", "svd"):
         raise ValueError(f"unknown reduction: {method}")
-    scale = StandardScaler(withMean=method == "pca", withStd=False, inputCol=input, outputCol="_centred")
-    return [scale, PCA(k=components, inputCol="_centred", outputCol=output)]
+    first = rows.select(F.size(vector_to_array(input))).first()
+    k = max(1, min(components, first[0] if first else 1, rows.count()))
+    scale = StandardScaler(withMean=method == "pca", withStd=False, inputCol=input, outputCol="_centred").fit(rows)
+    centred = scale.transform(rows).select("_centred")
+    if method == "svd":
+        # Every row also with the other sign: the mean is zero, so the covariance is the matrix of products.
+        turned = F.transform(vector_to_array("_centred"), lambda x: -x)
+        centred = centred.unionByName(centred.select(array_to_vector(turned).alias("_centred")))
+    return PipelineModel(stages=[scale, PCA(k=k, inputCol="_centred", outputCol=output).fit(centred)])
 
 
 def classifier(algorithm: str, params: dict | None = None, rows: int = 1, features: str = "features", label: str = "_label") -> Estimator:
@@ -85,7 +92,9 @@ def classifier(algorithm: str, params: dict | None = None, rows: int = 1, featur
         return OneVsRest(classifier=svm, parallelism=4, **cols)
     if algorithm == "random_forest":
         depth = int(params.get("max_depth", 0)) or DEEPEST
-        return RandomForestClassifier(numTrees=int(params.get("n_estimators", 100)), maxDepth=min(depth, 30), seed=42, **cols)
+        if depth > DEEPEST:
+            raise ValueError(f"Spark ML grows trees to depth {DEEPEST} at most")
+        return RandomForestClassifier(numTrees=int(params.get("n_estimators", 100)), maxDepth=depth, seed=42, **cols)
     raise ValueError(f"unknown algorithm: {algorithm}")
 
 
@@ -106,23 +115,23 @@ class Features:
                  components: int = COMPONENTS, max_features: int = MAX_FEATURES, label: str = "label"):
         self.label, self.mode = label, "embeddings" if embedding else "tfidf"
         keep = ["id", label, embedding or "text"]
-        train, val = spread(train.select(*keep)), spread(val.select(*keep))
+        # A missing label is the label 'unknown'; no other label is added.
+        named = F.coalesce(F.nullif(F.col(label), F.lit("")), F.lit("unknown"))
+        train, val = (spread(df.select(*keep)).withColumn(label, named) for df in (train, val))
         if embedding:
             train, val = with_vector(train, embedding), with_vector(val, embedding)
-            stages = reduce_stages(dim_reduce, components) if dim_reduce else [
-                SQLTransformer(statement="SELECT *, _vector AS features FROM __THIS__")
-            ]
+            same = SQLTransformer(statement="SELECT *, _vector AS features FROM __THIS__")
+            self.stages = fit_reduction(train, dim_reduce, components) if dim_reduce else PipelineModel(stages=[same])
         else:
-            stages = text_stages(max_features)
-        self.labels = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="keep").fit(train)
-        self.stages = Pipeline(stages=stages).fit(train)
+            self.stages = Pipeline(stages=text_stages(max_features)).fit(train)
+        self.labels = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="error").fit(train)
         self.train = self.labels.transform(self.stages.transform(train)).select("id", label, "_label", "features").persist()
         self.val = self.stages.transform(val).select("id", label, "features").persist()
         self.rows = self.train.count()
 
     def fit(self, estimator: Estimator) -> PipelineModel:
         """A model over features, ending in the predicted label."""
-        names = IndexToString(inputCol="prediction", outputCol="_predicted_label", labels=self.labels.labels + ["unknown"])
+        names = IndexToString(inputCol="prediction", outputCol="_predicted_label", labels=self.labels.labels)
         return PipelineModel(stages=[estimator.fit(self.train), names])
 
     def score(self, model: PipelineModel) -> float:
@@ -169,20 +178,20 @@ def compare_classifiers(train: DataFrame, val: DataFrame, algorithms: list[str]
 
 
 def grid_search(train: DataFrame, val: DataFrame, algorithm: str = "logistic_regression", grid: dict | None = None, threads: int = 4) -> list[dict]:
-    """All combinations of a grid on one fixed validation set, best first."""
+    """All combinations of a grid on one fixed validation set, best first; one that fails scores 0 with its error."""
     grid = grid or GRIDS[algorithm]
     combos = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
     shared = Features(train, val)
 
-    def run(params: dict) -> dict | None:
+    def run(params: dict) -> dict:
         try:
             trained = train_classifier(train, val, algorithm, params, features=shared)
-            return {"params": params, "accuracy": trained.accuracy, "model": trained.model}
-        except Exception:
-            return None
+            return {"params": params, "accuracy": trained.accuracy, "model": trained.model, "error": None}
+        except Exception as err:
+            return {"params": params, "accuracy": 0.0, "model": None, "error": str(err)}
 
     with ThreadPoolExecutor(threads) as pool:
-        results = [r for r in pool.map(run, combos) if r]
+        results = list(pool.map(run, combos))
     shared.release()
     return sorted(results, key=lambda r: -r["accuracy"])
 
@@ -231,6 +240,9 @@ def feature_importance(model: PipelineModel, df: DataFrame, top: int = 10) -> Da
     last = model.stages[-2]
     if hasattr(last, "coefficientMatrix"):
         rows = list(last.coefficientMatrix.toArray())
+        if len(rows) == 1 and len(labels) == 2:
+            # Two labels share one row, which speaks for the second.
+            rows = [-rows[0], rows[0]]
     elif hasattr(last, "models"):
         rows = [m.coefficients.toArray() for m in last.models]
     elif hasattr(last, "featureImportances"):
@@ -329,9 +341,10 @@ def train_scorer(train: DataFrame, lo: float | None = None, hi: float | None = N
 
 
 def scorer_weights(scorer: Scorer, df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, feature) and (feature, weight) of a scorer, for feature dropout; features are slots.
+    """(id, feature, occurrence) and (feature, weight) of a scorer, for feature dropout; features are slots.
 
-    The table of weights has at most as many rows as the scorer has slots.
+    The table of weights has at most as many rows as the scorer has slots. The model's constant is
+    :func:`scorer_offset`.
     """
     hashing, regression = scorer.model.stages
     weights = df.sparkSession.createDataFrame(
@@ -339,8 +352,13 @@ def scorer_weights(scorer: Scorer, df: DataFrame) -> tuple[DataFrame, DataFrame]
     )
     counts = hashing.transform(_hash_input(df)).select("id", F.unwrap_udt("features").alias("f"))
     rows = counts.select("id", F.inline(F.arrays_zip("f.indices", "f.values")))
-    repeats = F.explode(F.array_repeat("indices", F.col("values").cast("int")))
-    return rows.select("id", repeats.alias("feature")), weights
+    repeats = F.explode(F.sequence(F.lit(1), F.col("values").cast("int")))
+    return rows.select("id", F.col("indices").alias("feature"), repeats.alias("occurrence")), weights
+
+
+def scorer_offset(scorer: Scorer) -> float:
+    """The constant of a scorer, which no dropout removes."""
+    return float(scorer.model.stages[-1].intercept)
 
 
 # --- maps -------------------------------------------------------------------------------------------------------
@@ -348,6 +366,6 @@ def scorer_weights(scorer: Scorer, df: DataFrame) -> tuple[DataFrame, DataFrame]
 def map_2d(df: DataFrame, embedding: str = "embedding") -> DataFrame:
     """Adds ``x`` and ``y``: the two leading components of the centred embeddings."""
     rows = with_vector(df.where(F.col(embedding).isNotNull()), embedding)
-    out = Pipeline(stages=reduce_stages("pca", 2, output="_map")).fit(rows).transform(rows)
+    out = fit_reduction(rows, "pca", 2, output="_map").transform(rows)
     point = vector_to_array("_map")
-    return out.withColumn("x", point[0]).withColumn("y", point[1]).select(*df.columns, "x", "y")
+    return out.withColumn("x", point[0]).withColumn("y", F.coalesce(F.get(point, 1), F.lit(0.0))).select(*df.columns, "x", "y")

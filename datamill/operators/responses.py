@@ -7,6 +7,7 @@ tasks. Everything before and after it is relational: a request table goes out, a
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -20,28 +21,37 @@ from datamill.operators.validate import check, reason_for
 OK, NO_ARRAY, ERROR = "ok", "no_array", "error"
 
 
-def ask(requests: DataFrame, call: Callable[[list[str]], list[str]], prompt: str = "prompt", tries: int = 3) -> DataFrame:
-    """Adds ``response`` from a user function; a batch that keeps failing gets null, never lost.
+def ask(
+    requests: DataFrame, call: Callable[[list[str]], list[str]], prompt: str = "prompt", tries: int = 3, size: int = 1, wait: float = 1.0,
+) -> DataFrame:
+    """Adds ``response`` from a user function, called with ``size`` prompts at a time; what keeps failing gets null.
 
-    The function is retried request by request after a failed batch, so one bad request does not
-    take its neighbours with it.
+    A call fails if it raises or does not return one answer per prompt. After a failed call its prompts are
+    asked one by one, up to ``tries`` times each, waiting ``wait`` seconds, then twice as long, between tries.
     """
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def one(text):
-            for _ in range(tries):
-                try:
-                    return call([text])[0]
-                except Exception:
-                    continue
+        def some(texts: list[str]) -> list[str] | None:
+            try:
+                answers = list(call(texts))
+            except Exception:
+                return None
+            return answers if len(answers) == len(texts) else None
+
+        def one(text: str, left: int) -> str | None:
+            for i in range(left):
+                time.sleep(wait * 2**i)
+                if found := some([text]):
+                    return found[0]
             return None
 
         for pdf in frames:
-            texts = pdf[prompt].tolist()
-            try:
-                answers = call(texts)
-            except Exception:
-                answers = [one(t) for t in texts]
-            yield pdf.assign(response=answers)
+            for start in range(0, len(pdf), size):
+                part = pdf.iloc[start:start + size]
+                texts = part[prompt].tolist()
+                answers = some(texts)
+                if answers is None:
+                    answers = [one(t, tries - (len(texts) == 1)) for t in texts]
+                yield part.assign(response=answers)
 
     plain = requests.drop("response")
     return plain.mapInPandas(run, T.StructType([*plain.schema.fields, T.StructField("response", T.StringType())]))
@@ -153,7 +163,9 @@ def judge_requests(batched: DataFrame) -> DataFrame:
 
 
 def zero_shot_requests(batched: DataFrame) -> DataFrame:
-    line = F.concat(F.col("index").cast("string"), F.lit(': "'), F.col("text"), F.lit('"'))
+    # A null text is written out, so that the answers by position stay with their rows.
+    said = F.when(F.col("text").isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), F.col("text"), F.lit('"')))
+    line = F.concat(F.col("index").cast("string"), F.lit(": "), said)
     body = batched.groupBy("batch").agg(_numbered(line).alias("body"))
     return body.select("batch", F.concat(F.lit(V.ZERO_SHOT_HEAD), F.col("body"), F.lit(V.ZERO_SHOT_TAIL)).alias("prompt"))
 

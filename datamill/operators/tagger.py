@@ -20,7 +20,7 @@ from datamill.operators.active import margin_uncertainty
 from datamill.operators.sequences import token_features
 from datamill.session import spread
 
-SLOTS, EPOCHS = 1 << 16, 10
+SLOTS, EPOCHS = 1 << 18, 10
 
 
 def slot_arrays(tokens: Column | str, slots: int = SLOTS) -> Column:
@@ -132,11 +132,14 @@ class Tagger:
 
 
 def train_tagger(df: DataFrame, tags: list[str], epochs: int = EPOCHS, slots: int = SLOTS, shards: int | None = None) -> Tagger:
-    """A tagger from (id, tokens, tags); sequences without tokens or with unknown tags do not count."""
+    """A tagger from (id, tokens, tags); sequences without tokens do not count, an unknown tag is an error."""
     spark = df.sparkSession
     n = len(tags)
     known = F.array(*[F.lit(t) for t in tags])
-    rows = df.where((F.size("tokens") > 0) & (F.size("tokens") == F.size("tags")) & (F.size(F.array_except("tags", known)) == 0))
+    rows = df.where((F.size("tokens") > 0) & (F.size("tokens") == F.size("tags")))
+    other = rows.where(F.size(F.array_except("tags", known)) > 0).select(F.array_except("tags", known).alias("t")).first()
+    if other:
+        raise ValueError(f"tags that the tagger does not know: {other['t']}")
     gold = F.transform("tags", lambda t: (F.array_position(known, t) - 1).cast("int"))
     shards = shards or spark.sparkContext.defaultParallelism
     data = (
@@ -145,6 +148,7 @@ def train_tagger(df: DataFrame, tags: list[str], epochs: int = EPOCHS, slots: in
     )
     # One flat vector: slot weights first, then moves.
     now, total = np.zeros((slots + n + 1) * n), np.zeros((slots + n + 1) * n)
+    passes = 0
     for _ in range(epochs):
         shared = spark.sparkContext.broadcast(now)
 
@@ -179,6 +183,7 @@ def train_tagger(df: DataFrame, tags: list[str], epochs: int = EPOCHS, slots: in
             break
         used = float(mixed.loc[-1, "change"])
         mixed = mixed.drop(index=-1)
+        passes += 1
         total[:] += now
         total[mixed.index] += mixed["mean"].to_numpy() / used
         now = now.copy()
@@ -187,5 +192,5 @@ def train_tagger(df: DataFrame, tags: list[str], epochs: int = EPOCHS, slots: in
         if mixed.empty:
             break
     data.unpersist()
-    mean = total / max(epochs, 1)
+    mean = total / max(passes, 1)  # training may end before the last epoch
     return Tagger(tags, mean[:slots * n].reshape(slots, n), mean[slots * n:].reshape(n + 1, n))

@@ -12,7 +12,6 @@ from datamill.operators.active import dropout_uncertainty, most_uncertain
 from datamill.queries.views import EXAMPLES, examples, sequences, table, with_views
 
 QUERIES, SQL = {}, {}
-FEW = {"logistic_regression": {"max_iter": 50}, "svm": {"max_iter": 20}, "random_forest": {"n_estimators": 20, "max_depth": 6}}
 
 
 def query(name: str, sql: str | None = None):
@@ -43,47 +42,47 @@ def _(spark, sf):
 @query("text_classifier")
 def _(spark, sf):
     train, val = _halves(examples(spark, sf))
-    trained = ml.train_classifier(train, val, "logistic_regression", FEW["logistic_regression"])
+    trained = ml.train_classifier(train, val)
     return ml.predictions(trained.model, val).select("id", "actual", "label", "confidence")
 
 
 @query("compare_algorithms")
 def _(spark, sf):
     train, val = _halves(examples(spark, sf))
-    return ml.results_table(train, ml.compare_classifiers(train, val, params=FEW))
+    return ml.results_table(train, ml.compare_classifiers(train, val))
 
 
 @query("grid_search")
 def _(spark, sf):
     train, val = _halves(examples(spark, sf))
-    return ml.results_table(train, ml.grid_search(train, val, grid={"C": [0.1, 10.0], "max_iter": [10]}))
+    return ml.results_table(train, ml.grid_search(train, val))
 
 
 @query("vector_classifier")
 def _(spark, sf):
     rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.col("label").cast("string").alias("label"))
     train, val = _halves(rows)
-    trained = ml.train_classifier(train, val, params={"max_iter": 50}, embedding="embedding", dim_reduce="pca", components=16)
+    trained = ml.train_classifier(train, val, embedding="embedding", dim_reduce="pca")
     return ml.predictions(trained.model, ml.with_vector(val)).select("id", "actual", "label", "confidence")
 
 
 @query("cross_validation")
 def _(spark, sf):
-    folds = W.kfold(examples(spark, sf), 3)
-    return M.fold_summary(ml.cross_validate(folds, 3, params={"max_iter": 10}))
+    folds = W.kfold(examples(spark, sf), 5)
+    return M.fold_summary(ml.cross_validate(folds, 5))
 
 
 @query("trained_ensemble")
 def _(spark, sf):
     train, val = _halves(examples(spark, sf))
-    models = ml.train_ensemble(train, val, params=FEW)
+    models = ml.train_ensemble(train, val)
     return weighted_vote(ml.ensemble_predictions(models, val), 0.5).select("id", "label", "confidence", "agreement", "rejected")
 
 
 @query("feature_importance")
 def _(spark, sf):
     train, val = _halves(examples(spark, sf))
-    return ml.feature_importance(ml.train_classifier(train, val, params={"max_iter": 20}).model, train, 10)
+    return ml.feature_importance(ml.train_classifier(train, val).model, train, 10)
 
 
 @query("field_models")
@@ -94,7 +93,7 @@ def _(spark, sf):
         F.lit("address"), F.nullif(F.regexp_extract("text", r"\S+@\S+", 0), F.lit("")),
     ))
     train, val = _halves(rows)
-    stages, models = ml.train_fields(train, ["number", "address"], steps=20)
+    stages, models = ml.train_fields(train, ["number", "address"])
     return M.field_summary(ml.predict_fields(stages, models, val))
 
 
@@ -106,14 +105,14 @@ def _scored(spark, sf):
 @query("scorer")
 def _(spark, sf):
     train, val = _halves(_scored(spark, sf))
-    return M.regression_metrics(ml.train_scorer(train, 0.0, 5.0, steps=20).predict(val))
+    return M.regression_metrics(ml.train_scorer(train, 0.0, 5.0).predict(val))
 
 
 @query("scorer_uncertainty")
 def _(spark, sf):
     train, val = _halves(_scored(spark, sf))
-    scorer = ml.train_scorer(train, 0.0, 5.0, steps=20)
-    return most_uncertain(dropout_uncertainty(*ml.scorer_weights(scorer, val), lo=scorer.lo, hi=scorer.hi), 10)
+    scorer = ml.train_scorer(train, 0.0, 5.0)
+    return most_uncertain(dropout_uncertainty(*ml.scorer_weights(scorer, val), lo=scorer.lo, hi=scorer.hi, offset=ml.scorer_offset(scorer)), 10)
 
 
 @query("map_2d")
@@ -124,12 +123,12 @@ def _(spark, sf):
 @query("tagger")
 def _(spark, sf):
     train, val = _halves(sequences(spark, sf).select("id", "tokens", F.col("gold").alias("tags")))
-    model = train_tagger(train, ["O", "B-CAP", "I-CAP"], epochs=3)
+    model = train_tagger(train, ["O", "B-CAP", "I-CAP"])
     return Q.entity_metrics(Q.match_tags(val, model.predict(val)))
 
 
 @query("tagger_uncertainty")
 def _(spark, sf):
     train, val = _halves(sequences(spark, sf).select("id", "tokens", F.col("gold").alias("tags")))
-    model = train_tagger(train, ["O", "B-CAP", "I-CAP"], epochs=1)
+    model = train_tagger(train, ["O", "B-CAP", "I-CAP"])
     return most_uncertain(model.margins(val), 10).select("id", "margin", "uncertainty")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from datamill.functions.hashing import draw, text_key
 from datamill.queries.views import EXAMPLES, EXPERIMENTS, examples, experiments, table, u, with_views
+from datamill.session import checkpoint_dir
+from datamill.sources.tables import append, live, read_table
 from datamill.sources import embedding_cache as C, experiments as E, registry as R, tables as T, tasks as K
 
 QUERIES, SQL = {}, {}
@@ -77,9 +81,15 @@ def _(spark, sf):
 
 @query("cleared_log", LOG + "SELECT task, count(*) AS n, (SELECT count(*) FROM experiments WHERE task = 'click') AS removed FROM experiments WHERE task <> 'click' GROUP BY task")
 def _(spark, sf):
-    log = experiments(spark, sf)
-    removed = log.where("task = 'click'").agg(F.count("*")).scalar()
-    return log.where("task <> 'click'").groupBy("task").agg(F.count("*").alias("n")).withColumn("removed", removed)
+    """The log is written, one task is deleted from it, and what is left is read back."""
+    path = f"{checkpoint_dir(spark)}/log-{uuid.uuid4().hex}"
+    runs = experiments(spark, sf)
+    kept = runs.select(*[
+        (F.col(f.name).cast(f.dataType) if f.name in runs.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in E.EXPERIMENTS
+    ])
+    append(kept, path, by="task")
+    removed = E.clear_task(spark, path, "click")
+    return E.read_log(spark, path).groupBy("task").agg(F.count("*").alias("n")).withColumn("removed", F.lit(removed).cast("bigint"))
 
 
 REGISTRY_SQL = EXPERIMENTS + ", registry AS (SELECT task, 'v' || (train_size // 100) AS version, algorithm, accuracy, ts, id, user_id % 2 = 1 AS member FROM experiments JOIN (SELECT event_id, user_id FROM events) ON event_id = id)"
@@ -179,7 +189,12 @@ def _(spark, sf):
 
 @query("cache_cleared", with_views(CACHE_SQL) + "SELECT model, count(*) AS n FROM cache WHERE model <> 'a' GROUP BY model")
 def _(spark, sf):
-    return cache(spark, sf).where("model <> 'a'").groupBy("model").agg(F.count("*").alias("n"))
+    """The cache is written, one model is deleted from it, and what is left is read back."""
+    path = f"{checkpoint_dir(spark)}/cache-{uuid.uuid4().hex}"
+    append(cache(spark, sf).select(*C.CACHE.fieldNames()), path, by="model")
+    C.clear_model(spark, path, "a")
+    left = live(read_table(spark, path, C.CACHE))
+    return left.groupBy("model").agg(F.count("*").alias("n"))
 
 
 @query("embedding_join", """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,9 @@ def local_session(cpus: int | str = 8, app: str = "datamill", **conf: str) -> Sp
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.datamill.spread", str(cpus))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.checkpoint.dir", os.environ.get("DATAMILL_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="datamill-checkpoint-"))
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -31,10 +35,9 @@ def local_session(cpus: int | str = 8, app: str = "datamill", **conf: str) -> Sp
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of this session.
+    """The checkpoint folder of this session, below the one that ``spark.checkpoint.dir`` names.
 
-    A cluster names a shared folder in ``spark.checkpoint.dir``. Only a local session that
-    names none gets a temporary folder, since there every task runs on the same machine.
+    Only a session that runs wholly on one machine may leave the setting out and gets a temporary folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -42,7 +45,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="datamill-checkpoint-")
     sc.setCheckpointDir(named)
@@ -56,10 +59,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give heavy per-row work on a few files at least one partition per core.
+    """Deal the rows to as many partitions as ``spark.datamill.spread`` says; without it they stay.
 
-    A file with a single row group is read as one partition. A table of many files has enough of
-    them and is left as it is, so large inputs pay no extra shuffle; nothing is run to find out.
+    For tables of a few files with heavy work per row. A large table has enough partitions of its own, so a
+    cluster leaves the setting out and pays no shuffle.
     """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if 0 < len(df.inputFiles()) < want else df
+    want = df.sparkSession.conf.get("spark.datamill.spread", None)
+    return df.repartition(int(want)) if want and want.isdigit() else df

@@ -4,6 +4,7 @@ from conftest import values
 from pyspark.sql import functions as F
 
 from datamill.operators import metrics as M, ml, sequences as Q
+from datamill.operators.active import dropout_uncertainty
 from datamill.operators.tagger import Tagger, best_path, train_tagger
 
 GOOD, BAD = "great lovely product works well", "terrible awful broken waste money"
@@ -58,7 +59,10 @@ def test_scorer(spark, rows, tmp_path):
     assert sorted(values(again.predict(df), "id", "score")) == sorted(values(s.predict(df), "id", "score"))
     feats, weights = ml.scorer_weights(s, df)
     raw = feats.join(weights, "feature").groupBy("id").agg(F.sum("weight").alias("w"))
-    base = s.model.stages[-1].intercept
+    base = ml.scorer_offset(s)
+    out = dropout_uncertainty(feats, weights, lo=s.lo, hi=s.hi, offset=base)
+    pairs = out.join(s.predict(df).select("id", "score"), "id").select("prediction", "score").collect()
+    assert pairs and all(abs(p - q) < 1e-9 for p, q in pairs)
     got = s.model.transform(ml._hash_input(df)).join(raw, "id").select(F.max(F.abs(F.col("prediction") - F.col("w") - base))).first()[0]
     assert got < 1e-9
 
@@ -98,3 +102,45 @@ def test_tagger(spark, rows, tmp_path):
     model.save(spark, str(tmp_path / "t"))
     again = Tagger.load(spark, str(tmp_path / "t"))
     assert np.array_equal(again.weights, model.weights) and np.array_equal(again.moves, model.moves) and again.tags == tags
+
+
+def test_no_label_is_made_up(rows):
+    data = [(i, ("good fine nice " if i % 2 else "bad poor sad ") * 3, "pos" if i % 2 else "neg") for i in range(40)]
+    df = rows(data, "id long, text string, label string")
+    found = ml.feature_importance(ml.train_classifier(df, df).model, df, 2)
+    assert {r["label"] for r in found.collect()} == {"neg", "pos"}
+    missing = rows(data + [(99, "odd words here", None)], "id long, text string, label string")
+    shared = ml.Features(missing, missing)
+    assert shared.labels.labels == ["neg", "pos", "unknown"]
+    shared.release()
+
+
+def test_svd_keeps_the_mean(rows):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(60, 4)) * [3, 1, 0.5, 0.1] + [0, 0, 50, 0]
+    df = ml.with_vector(rows([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>"))
+    for method, data in (("svd", x), ("pca", x - x.mean(0))):
+        first = ml.fit_reduction(df, method, 50).stages[-1].pc.toArray()
+        assert first.shape == (4, 4)  # no more directions than dimensions
+        assert abs(first[:, 0] @ np.linalg.svd(data)[2][0]) > 1 - 1e-6
+
+
+def test_depth_beyond_spark_is_refused():
+    with pytest.raises(ValueError):
+        ml.classifier("random_forest", {"max_depth": 31})
+
+
+def test_repeats_of_a_feature_are_dropped_by_themselves(rows):
+    weights = rows([(1, 1.0)], "feature int, weight double")
+    together = dropout_uncertainty(rows([(1, 1)] * 10, "id long, feature int"), weights).first()["uncertainty"]
+    apart = dropout_uncertainty(rows([(1, 1, i) for i in range(10)], "id long, feature int, occurrence int"), weights).first()["uncertainty"]
+    assert together == 0 and apart > 0
+
+
+def test_tagger_margin_does_not_depend_on_idle_epochs(rows):
+    data = [(i, ["Rome", "is", "big"], ["B-L", "O", "O"]) for i in range(4)]
+    df = rows(data, "id long, tokens array<string>, tags array<string>")
+    few, many = (train_tagger(df, ["O", "B-L"], epochs=n, shards=1).margins(df).first()["margin"] for n in (8, 40))
+    assert abs(few - many) < 1e-9
+    with pytest.raises(ValueError):
+        train_tagger(df, ["O"])

@@ -205,3 +205,18 @@ def test_similar_for_queries_fills_up(rows):
     queries = rows([(1, "a b"), (2, "zzz"), (3, "")], "query_id long, text string")
     got = sorted(values(S.similar_for_queries(docs, queries, 2), "query_id", "rank", "id"))
     assert got == [(1, 1, 1), (1, 2, 4), (2, 1, 1), (2, 2, 2), (3, 1, 3), (3, 2, 1)]
+
+
+def test_vote_with_missing_labels(rows):
+    from datamill.operators.vote import weighted_vote
+
+    data = [(1, "a", 1, 0.5, None), (1, "b", 2, 0.4, "x"), (2, "a", 1, 0.5, None)]
+    got = {r["id"]: r for r in weighted_vote(rows(data, "id long, model string, model_order int, weight double, label string")).collect()}
+    assert got[1]["label"] is None and got[1]["votes"] == {"x": 0.4} and got[2]["votes"] == {}
+
+
+def test_null_text_keeps_its_line(rows):
+    from datamill.operators.responses import zero_shot_requests
+
+    df = rows([(0, 0, "a"), (0, 1, None), (0, 2, "c")], "batch long, index int, text string")
+    assert '0: "a"\n1: null\n2: "c"' in zero_shot_requests(df).first()["prompt"]

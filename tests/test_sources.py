@@ -141,7 +141,7 @@ def test_ask_survives_failures(rows):
         return [t.upper() for t in texts]
 
     df = rows([(1, "a"), (2, "bad"), (3, "c")], "batch long, prompt string").coalesce(1)
-    assert sorted(values(R.ask(df, call), "batch", "response")) == [(1, "A"), (2, None), (3, "C")]
+    assert sorted(values(R.ask(df, call, wait=0.0), "batch", "response")) == [(1, "A"), (2, None), (3, "C")]
 
 
 def test_confidence_filter_keeps_failed_batches(rows):
@@ -189,3 +189,15 @@ def test_streams_add_once(spark, rows, tmp_path):
     assert sorted(values(B.read_table(spark, table, schema), "id", "_source")) == [(i, "active_loop") for i in (1, 2, 3)]
     I.run_once(stream(), I.embed_batch(str(tmp_path / "cache"), "m", lambda t: [[1.0]] * len(t)), str(tmp_path / "c3"))
     assert C.read_cache(spark, str(tmp_path / "cache")).count() == 3
+
+
+def test_ask_in_small_calls(rows):
+    def call(texts):
+        assert len(texts) <= 2
+        if "bad" in texts:
+            return ["only one answer for all"] if len(texts) > 1 else []
+        return [t.upper() for t in texts]
+
+    df = rows([(i, t) for i, t in enumerate(["a", "b", "bad", "d", "e"])], "batch long, prompt string").coalesce(1)
+    got = dict(values(R.ask(df, call, size=2, wait=0.0), "batch", "response"))
+    assert got == {0: "A", 1: "B", 2: None, 3: "D", 4: "E"}
