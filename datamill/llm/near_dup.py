@@ -7,10 +7,11 @@ and two signatures agree on a coordinate with a probability equal to the weighte
 K ln K + 2K darts are needed, however many shingles a text has.
 
 Texts that agree on a band of the signature are candidates. Each bucket compares its members with its first
-member only; what fails is compared between the resulting stars, first by their centres, then member by member
-where the triangle inequality of the Jaccard distance leaves a link possible. So no bucket lists its pairs, and
-no link within a bucket is lost. Equal texts are one node throughout. Texts are read from the table by their
-digest, and only those of candidates.
+member only, and the links found make components. Where a bucket still holds several components, single texts are
+compared with each other, and larger components (hubs) with the texts of the components they meet, in blocks of
+bounded size that give one link for each text at most. So no bucket lists its pairs, and no link within a bucket is
+lost. Equal texts are one node throughout. Texts are read from the table by their digest, and only those of
+candidates.
 """
 
 from __future__ import annotations
@@ -23,11 +24,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from datamill.llm.common import text_of, written
+from datamill.llm.common import packed, text_of, unpacked, written
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5  # a pair of similarity 0.8 shares no band with probability (1 - 0.8^5)^24 < 8e-5
 STAR = 100  # members of a star that one verification step holds against the centre
+BLOCK = 300  # texts of a hub, and texts it meets, in one block
 MEMORY = 300_000  # words whose hash a worker remembers
 BROADCAST_ROWS = 500_000  # rows of (digest, id) that may be sent to all executors
 GOLD, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -167,6 +169,14 @@ def signed(docs: DataFrame, text: str, bands: int, rows: int, words: int, counte
     return rows_in.mapInArrow(run, "node binary, keys array<long>").dropDuplicates(["node"])
 
 
+def texts_of(nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """(_n, text) of the given nodes; ``docs`` is not shuffled while the nodes are few."""
+    nodes = written(nodes.select(F.col("node").alias("_n")).distinct(), "ends")
+    rows = docs.select(F.unhex(F.md5(text_of(docs[text]))).alias("_n"), text_of(docs[text]).alias("text"))
+    small = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
+    return written(rows.join(small, "_n", "left_semi").dropDuplicates(["_n"]), "texts")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, text: str, words: int = WORDS, counted: bool = False) -> DataFrame:
     """(centre, node, distance): the exact Jaccard distance of pairs (centre, node) of text digests.
 
@@ -174,12 +184,7 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str, words: int = WORDS, c
     a task reads one after the other.
     """
     pairs = written(pairs, "pairs")
-    ends = pairs.select(F.col("node").alias("_n")).unionByName(pairs.select(F.col("centre").alias("_n"))).distinct()
-    ends = written(ends, "ends")
-    digest = F.unhex(F.md5(text_of(docs[text])))
-    rows = docs.select(digest.alias("_n"), text_of(docs[text]).alias("text"))
-    small = F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends
-    texts = written(rows.join(small, "_n", "left_semi").dropDuplicates(["_n"]), "texts")
+    texts = texts_of(pairs.select("node").unionByName(pairs.select(F.col("centre").alias("node"))), docs, text)
     steps = pairs.groupBy("centre").agg(F.ceil(F.count("*") / F.lit(STAR)).alias("steps"))
     placed = written(pairs.join(steps, "centre").withColumn("step", F.pmod(F.xxhash64("node"), F.col("steps"))).drop("steps"), "placed")
     members = placed.join(texts, placed["node"] == texts["_n"]).select("centre", "step", "node", "text")
@@ -225,39 +230,105 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
+class Hub:
+    """The shingles of a block's hub texts as posting lists, against which other texts are held."""
+
+    def __init__(self, nodes: list[bytes], sets: list[tuple[np.ndarray, np.ndarray]], counted: bool):
+        self.nodes, self.counted = nodes, counted
+        items = np.concatenate([x for x, _ in sets])
+        order = np.argsort(items, kind="stable")
+        self.items = items[order]
+        self.owner = np.repeat(np.arange(len(sets)), [len(x) for x, _ in sets])[order]
+        self.weight = (np.concatenate([c for _, c in sets]) if counted else np.ones(len(items), np.int64))[order]
+        self.total = np.bincount(self.owner, self.weight, len(sets))
+
+    def nearest(self, items: np.ndarray, counts: np.ndarray) -> tuple[bytes, float]:
+        """The hub's text of the greatest similarity, and that similarity."""
+        weight = counts if self.counted else np.ones(len(items), np.int64)
+        left, right = np.searchsorted(self.items, items, "left"), np.searchsorted(self.items, items, "right")
+        found = right - left
+        places = np.arange(found.sum()) + np.repeat(left - np.concatenate([[0], np.cumsum(found)[:-1]]), found)
+        both = np.bincount(self.owner[places], np.minimum(self.weight[places], np.repeat(weight, found)), len(self.total))
+        similar = both / (self.total + weight.sum() - both)
+        best = int(np.argmax(similar))
+        return self.nodes[best], float(similar[best])
+
+
+def hub_links(meets: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, similarity: float, words: int, counted: bool) -> DataFrame:
+    """(a, b): for each node of a component that meets a hub its nearest node there, if it is similar enough.
+
+    ``meets`` (hub, guest) are labels, ``nodes`` (node, label). A hub and its guests are cut into blocks of about
+    BLOCK texts each, and every pair of blocks is one step of a task, which holds the hub's block in memory.
+    """
+    hubs = meets.select(F.col("hub").alias("label")).distinct()
+    members = nodes.join(hubs, "label").select(F.col("label").alias("hub"), "node")
+    guests = meets.join(nodes, meets["guest"] == nodes["label"]).select("hub", "node")
+    rows = written(members.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True))).distinct(), "hub_rows")
+    blocks = rows.groupBy("hub").agg(
+        F.ceil(F.sum((~F.col("guest")).cast("int")) / F.lit(BLOCK)).cast("int").alias("m"), F.ceil(F.sum(F.col("guest").cast("int")) / F.lit(BLOCK)).cast("int").alias("g"))
+    blocks = written(blocks.select(F.col("hub").alias("_hub"), "m", "g"), "hub_blocks")
+    rows = rows.join(blocks, rows["hub"] == blocks["_hub"])
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("guest"), F.col("g")).otherwise(F.col("m"))).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("guest"), F.col("m")).otherwise(F.col("g")) - 1)))
+    rows = rows.select(
+        "hub", F.when(F.col("guest"), F.col("other")).otherwise(F.col("own")).alias("block"),
+        F.when(F.col("guest"), F.col("own")).otherwise(F.col("other")).alias("part"), "guest", "node")
+    texts = texts_of(rows.select("node"), docs, text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step, nodes_held, sets, hub = None, [], [], None
+        for batch in batches:
+            out: tuple[list, list] = [], []
+            for name, block, part, guest, node, value in zip(*[batch.column(i).to_pylist() for i in range(5)], batch.column(5)):
+                if (name, block, part) != step:
+                    step, nodes_held, sets, hub = (name, block, part), [], [], None
+                found = shingles(value.as_py(), words)
+                if not guest:
+                    nodes_held.append(node)
+                    sets.append(found)
+                    continue
+                if not sets:
+                    continue
+                hub = hub or Hub(nodes_held, sets, counted)
+                near, similar = hub.nearest(*found)
+                if similar >= similarity - 1e-12:
+                    out[0].append(node)
+                    out[1].append(near)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary())], ["a", "b"])
+
+    steps = rows.join(texts, rows["node"] == texts["_n"]).select("hub", "block", "part", "guest", "node", "text")
+    steps = steps.repartition("hub", "block", "part").sortWithinPartitions("hub", "block", "part", "guest", "node")
+    return written(steps.mapInArrow(run, "a binary, b binary"), "hub_links")
+
+
 def linked_nodes(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, words: int = WORDS, counted: bool = False) -> DataFrame:
     """(node, label) of the texts that have a near duplicate of other text."""
-    near = 1.0 - similarity + 1e-12
+    near = F.col("distance") <= 1.0 - similarity + 1e-12
     keys = written(signed(docs, text, bands, rows, words, counted), "signatures").select("node", F.explode("keys").alias("key"))
     firsts = keys.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
     shared = written(keys.join(firsts, "key"), "buckets")
     stars = verified(shared.where(F.col("node") != F.col("centre")).select("centre", "node").distinct(), docs, text, words, counted)
-    links = stars.where(F.col("distance") <= near).select(F.col("centre").alias("a"), F.col("node").alias("b"))
-    # Every node of a bucket hangs on the nearest centre it is linked to, or stands alone.
-    hung = stars.where(F.col("distance") <= near).groupBy("node").agg(F.min(F.struct("distance", "centre")).alias("h"))
-    failed = stars.where(F.col("distance") > near)
-    if failed.isEmpty():
-        return components(links)
-    labels = components(links)
-    # Only buckets that hold a failed pair can have members of several stars.
-    open_keys = shared.join(failed.select("centre", "node"), ["centre", "node"], "left_semi").select("key").distinct()
-    rest = shared.join(open_keys, "key", "left_semi").select("key", "node")
-    rest = rest.join(hung, "node", "left").select("key", "node", F.coalesce("h.centre", "node").alias("anchor"), F.coalesce("h.distance", F.lit(0.0)).alias("off"))
-    rest = rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rest = written(rest, "open")
-    anchors = rest.groupBy("key", "anchor", "label").agg(F.max("off").alias("off"))
-    other = anchors.select("key", F.col("anchor").alias("anchor2"), F.col("label").alias("label2"), F.col("off").alias("off2"))
-    meet = anchors.join(other, "key").where((F.col("anchor") < F.col("anchor2")) & (F.col("label") != F.col("label2")))
-    meet = written(meet.groupBy("anchor", "anchor2").agg(F.max(F.col("off") + F.col("off2")).alias("slack")), "meet")
-    centres = verified(meet.select(F.col("anchor").alias("centre"), F.col("anchor2").alias("node")), docs, text, words, counted)
-    links = links.unionByName(centres.where(F.col("distance") <= near).select(F.col("centre").alias("a"), F.col("node").alias("b")))
-    apart = centres.where(F.col("distance") > near).select(F.col("centre").alias("anchor"), F.col("node").alias("anchor2"), "distance")
-    apart = apart.join(meet, ["anchor", "anchor2"]).where(F.col("distance") <= near + F.col("slack")).drop("slack")
-    second = rest.select("key", F.col("node").alias("node2"), F.col("anchor").alias("anchor2"), F.col("off").alias("off2"))
-    left = rest.select("key", "node", "anchor", "off").join(apart, "anchor").join(second, ["key", "anchor2"])
-    left = left.where(F.col("distance") <= near + F.col("off") + F.col("off2")).where((F.col("node") != F.col("anchor")) | (F.col("node2") != F.col("anchor2")))
-    last = verified(left.select(F.col("node").alias("centre"), F.col("node2").alias("node")).distinct(), docs, text, words, counted)
-    return components(links.unionByName(last.where(F.col("distance") <= near).select(F.col("centre").alias("a"), F.col("node").alias("b"))))
+    links = stars.where(near).select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    labels = written(components(links), "star_labels")
+    # Buckets that hold several components, with a row for each of these.
+    held = shared.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    held = written(held, "held")
+    mixed_keys = held.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    held = written(held.join(mixed_keys, "key", "left_semi"), "mixed")
+    nodes = written(held.select("node", "label").distinct(), "open")
+    sizes = nodes.groupBy("label").agg(F.count("*").alias("n"), F.max(F.col("node") != F.col("label")).alias("several"))
+    parts = held.select("key", "label").distinct()
+    meets = parts.join(parts.select("key", F.col("label").alias("label2")), "key").where(F.col("label") < F.col("label2")).select("label", "label2").distinct()
+    meets = written(meets, "meets")
+    meets = meets.join(sizes.select("label", "n", "several"), "label")
+    meets = written(meets.join(sizes.select(F.col("label").alias("label2"), F.col("n").alias("n2"), F.col("several").alias("several2")), "label2"), "sized")
+    singles = meets.where(~F.col("several") & ~F.col("several2")).select(F.col("label").alias("centre"), F.col("label2").alias("node"))
+    singles = verified(singles, docs, text, words, counted)
+    swap = F.struct("n2", "label2") > F.struct("n", "label")
+    hubs = meets.where(F.col("several") | F.col("several2"))
+    hubs = hubs.select(F.when(swap, F.col("label2")).otherwise(F.col("label")).alias("hub"), F.when(swap, F.col("label")).otherwise(F.col("label2")).alias("guest"))
+    more = hub_links(hubs, nodes, docs, text, similarity, words, counted)
+    return components(links.unionByName(singles.where(near).select(F.col("centre").alias("a"), F.col("node").alias("b"))).unionByName(more))
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -301,5 +372,6 @@ def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **op
     kept = docs.join(side, (node == side["_node"]) & docs[key].eqNullSafe(side["_id"]), "left_anti")
     if again.isEmpty():
         return kept
-    back = docs.join(repeated, (node == repeated["_node"]) & docs[key].eqNullSafe(repeated["_id"])).dropDuplicates(["_label"])
-    return kept.unionByName(back.select(*[docs[c] for c in docs.columns]))
+    rows = packed(docs, node=node, id=docs[key])
+    back = rows.join(repeated, (F.col("node") == repeated["_node"]) & F.col("id").eqNullSafe(repeated["_id"])).dropDuplicates(["_label"])
+    return kept.unionByName(unpacked(back, docs.columns))
