@@ -342,5 +342,14 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
 
 def drop_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows whose text scores below ``threshold``, with their own columns."""
-    scored = score(packed(docs, text=docs[text]), model, "text", "score")
-    return unpacked(scored.where(F.col("score") < threshold), docs.columns)
+    place = docs.columns.index(docs.select(docs[text]).columns[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = _kept_matcher(model)
+        for batch in batches:
+            clean = [probability(t.as_py(), model, matcher) < threshold for t in batch.column(0).field(place)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(clean, pa.bool_()))], ["row"])
+
+    # The texts travel once, as part of their rows, and only those of clean rows come back.
+    rows = packed(docs)
+    return unpacked(rows.mapInArrow(run, rows.schema), docs.columns)
