@@ -7,11 +7,13 @@ and two signatures agree on a coordinate with a probability equal to the weighte
 K ln K + 2K darts are needed, however many shingles a text has.
 
 Texts that agree on a band of the signature are candidates. Each bucket compares its members with its first
-member only, and the links found make components. Where a bucket still holds several components, single texts are
-compared with each other, and larger components (hubs) with the texts of the components they meet, in blocks of
-bounded size that give one link for each text at most. So no bucket lists its pairs, and no link within a bucket is
-lost. Equal texts are one node throughout. Texts are read from the table by their digest, and only those of
-candidates.
+member only, and the links found make components. Where a bucket still holds several components, a second member is
+held against the texts of the others. What is left is held against each other by sketches, a byte for each coordinate
+of the signature, in blocks of bounded size: components meet if two of their texts agree on as many coordinates as
+five deviations below the similarity asked for (a similar pair falls short with a probability of about 1e-6). Single
+texts that meet are compared with each other, and larger components (hubs) with the texts of the components they
+meet, in blocks that give one link for each text at most. So no bucket lists its pairs. Equal texts are one node
+throughout. Texts are read from the table by their digest, and only those of candidates.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from datamill.llm.common import packed, text_of, unpacked, written
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5  # a pair of similarity 0.8 shares no band with probability (1 - 0.8^5)^24 < 8e-5
 STAR = 100  # members of a star that one verification step holds against the centre
+SKETCHES = 250  # sketches of a bucket in one block
+DEVIATIONS = 5  # below the expected agreement of a similar pair that sketches may fall
 BLOCK = 300  # texts of a hub, and texts it meets, in one block
 MEMORY = 300_000  # words whose hash a worker remembers
 BROADCAST_ROWS = 500_000  # rows of (digest, id) that may be sent to all executors
@@ -144,12 +148,12 @@ def band_keys(sign: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndar
 
 
 def signed(docs: DataFrame, text: str, bands: int, rows: int, words: int, counted: bool) -> DataFrame:
-    """(node, keys) of every distinct text with words; a node is the digest of a text."""
+    """(node, keys, sketch) of every distinct text with words; a node is the digest of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            nodes, keys = [], []
+            nodes, keys, sketches = [], [], []
             for node, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if node in seen:
                     continue
@@ -161,12 +165,13 @@ def signed(docs: DataFrame, text: str, bands: int, rows: int, words: int, counte
                 if sign is not None:
                     nodes.append(node)
                     keys.append(band_keys(sign, bands, rows))
+                    sketches.append((sign >> np.uint64(56)).astype(np.uint8).tobytes())
             flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bands), pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), lists], ["node", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), lists, pa.array(sketches, pa.binary())], ["node", "keys", "sketch"])
 
     rows_in = docs.select(F.unhex(F.md5(text_of(docs[text]))).alias("node"), text_of(docs[text]).alias("text"))
-    return rows_in.mapInArrow(run, "node binary, keys array<long>").dropDuplicates(["node"])
+    return rows_in.mapInArrow(run, "node binary, keys array<long>, sketch binary").dropDuplicates(["node"])
 
 
 def texts_of(nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
@@ -301,34 +306,97 @@ def hub_links(meets: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, si
     return written(steps.mapInArrow(run, "a binary, b binary"), "hub_links")
 
 
+def open_buckets(held: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, label) of the buckets in ``held`` (key, node) that hold several components, with all their rows."""
+    held = held.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    held = written(held, "held")
+    several = held.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    return written(held.join(several, "key", "left_semi"), "mixed")
+
+
+def promising(held: DataFrame, signs: DataFrame, similarity: float, coordinates: int) -> DataFrame:
+    """(label, label2), label < label2: components of a bucket two of whose texts have sketches that agree enough.
+
+    A bucket is cut into blocks of about SKETCHES texts, and every pair of blocks is one step of a task.
+    """
+    least = coordinates * similarity - DEVIATIONS * math.sqrt(coordinates * similarity * (1 - similarity))
+    blocks = held.groupBy("key").agg(F.ceil(F.count("*") / F.lit(SKETCHES)).cast("int").alias("m"))
+    rows = held.join(signs.select("node", "sketch"), "node").join(blocks, "key")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("m")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "label", "sketch")
+
+    def meeting(step: tuple, own: list[int], labels: list[bytes], sketches: list[bytes]) -> set[tuple[bytes, bytes]]:
+        table = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), coordinates)
+        number: dict[bytes, int] = {}
+        of = np.array([number.setdefault(x, len(number)) for x in labels])
+        left, right = (np.flatnonzero(np.array(own) == x) for x in step[1:])
+        found = set()
+        for i in left:
+            there = right[of[right] != of[i]]
+            if step[1] == step[2]:
+                there = there[there > i]
+            agree = there[(table[there] == table[i]).sum(axis=1) >= least]
+            found.update((min(labels[i], labels[j]), max(labels[i], labels[j])) for j in agree)
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step, held_rows = None, ([], [], [])
+        out: set[tuple[bytes, bytes]] = set()
+
+        def given() -> pa.RecordBatch:
+            columns = list(zip(*out)) or [(), ()]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["label", "label2"])
+
+        for batch in batches:
+            for key, low, high, *row in zip(*[c.to_pylist() for c in batch.columns]):
+                if (key, low, high) != step:
+                    if step:
+                        out |= meeting(step, *held_rows)
+                    step, held_rows = (key, low, high), ([], [], [])
+                    if len(out) > MEMORY:
+                        yield given()
+                for column, x in zip(held_rows, row):
+                    column.append(x)
+        if step:
+            out |= meeting(step, *held_rows)
+        yield given()
+
+    steps = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return steps.mapInArrow(run, "label binary, label2 binary").distinct()
+
+
 def linked_nodes(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, words: int = WORDS, counted: bool = False) -> DataFrame:
     """(node, label) of the texts that have a near duplicate of other text."""
-    near = F.col("distance") <= 1.0 - similarity + 1e-12
-    keys = written(signed(docs, text, bands, rows, words, counted), "signatures").select("node", F.explode("keys").alias("key"))
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        found = verified(pairs, docs, text, words, counted).where(F.col("distance") <= 1.0 - similarity + 1e-12)
+        return found.select(F.col("centre").alias("a"), F.col("node").alias("b"))
+
+    signs = written(signed(docs, text, bands, rows, words, counted), "signatures")
+    keys = signs.select("node", F.explode("keys").alias("key"))
     firsts = keys.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
     shared = written(keys.join(firsts, "key"), "buckets")
-    stars = verified(shared.where(F.col("node") != F.col("centre")).select("centre", "node").distinct(), docs, text, words, counted)
-    links = stars.where(near).select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    links = links_of(shared.where(F.col("node") != F.col("centre")).select("centre", "node").distinct())
     labels = written(components(links), "star_labels")
-    # Buckets that hold several components, with a row for each of these.
-    held = shared.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    held = written(held, "held")
-    mixed_keys = held.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    held = written(held.join(mixed_keys, "key", "left_semi"), "mixed")
+    held = open_buckets(shared.select("key", "node"), labels)
+    if held.isEmpty():
+        return labels
+    seconds = held.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("centre"), F.col("label").alias("own"))).alias("c")).select("key", "c.centre", "c.own")
+    others = held.join(seconds, "key").where(F.col("label") != F.col("own")).select("centre", "node").distinct()
+    links = links.unionByName(links_of(others))
+    held = open_buckets(held.select("key", "node"), written(components(links), "second_labels"))
     nodes = written(held.select("node", "label").distinct(), "open")
     sizes = nodes.groupBy("label").agg(F.count("*").alias("n"), F.max(F.col("node") != F.col("label")).alias("several"))
-    parts = held.select("key", "label").distinct()
-    meets = parts.join(parts.select("key", F.col("label").alias("label2")), "key").where(F.col("label") < F.col("label2")).select("label", "label2").distinct()
-    meets = written(meets, "meets")
+    meets = written(promising(held, signs, similarity, bands * rows), "meets")
     meets = meets.join(sizes.select("label", "n", "several"), "label")
     meets = written(meets.join(sizes.select(F.col("label").alias("label2"), F.col("n").alias("n2"), F.col("several").alias("several2")), "label2"), "sized")
     singles = meets.where(~F.col("several") & ~F.col("several2")).select(F.col("label").alias("centre"), F.col("label2").alias("node"))
-    singles = verified(singles, docs, text, words, counted)
     swap = F.struct("n2", "label2") > F.struct("n", "label")
     hubs = meets.where(F.col("several") | F.col("several2"))
     hubs = hubs.select(F.when(swap, F.col("label2")).otherwise(F.col("label")).alias("hub"), F.when(swap, F.col("label")).otherwise(F.col("label2")).alias("guest"))
     more = hub_links(hubs, nodes, docs, text, similarity, words, counted)
-    return components(links.unionByName(singles.where(near).select(F.col("centre").alias("a"), F.col("node").alias("b"))).unionByName(more))
+    return components(links.unionByName(links_of(singles)).unionByName(more))
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
