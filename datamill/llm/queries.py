@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from datamill.llm import inner_product, line_dedup, mixing, near_dup, pieces, projected_nn, quality, sharding, toxicity, warc
+from datamill.llm import (
+    inner_product, line_dedup, mixing, near_dup, packing, periodic, pieces, projected_nn, quality, sharding, spelling, toxicity, warc,
+)
 from datamill.llm.common import held_out
 from datamill.queries.views import table
 
@@ -151,3 +153,19 @@ FROM r"""
 def _(spark, sf):
     found = warc.archive_and_read(table(spark, sf, "pages")).where("kind = 'record'")
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op11_periodic_runs")
+def _(spark, sf):
+    return periodic.run_digests(periodic.repeated_words(periodic.repeat_tails(table(spark, sf, "documents"))))
+
+
+@query("op12_spelling_variants")
+def _(spark, sf):
+    found = spelling.variants(spelling.misspelled_words(table(spark, sf, "documents")))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query("op13_best_fit_packing")
+def _(spark, sf):
+    return packing.pack(packing.token_pieces(table(spark, sf, "documents"), tokenizer_path("word_bpe_49k.json")))
