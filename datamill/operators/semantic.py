@@ -1,26 +1,41 @@
-"""Exact cosine joins on embeddings, and first-wins duplicate removal built on them.
+"""Cosine joins on embeddings, exact or by a hash index, and first-wins duplicate removal built on them.
 
-Unit vectors with cosine >= t lie within ``reach = sqrt(2 - 2t)`` of each other. The space is cut
-into cells around a bounded number of centres taken from the data. A vector belongs to its nearest
-centre and is copied into every other cell whose border is within reach, so the home cell of a
-vector holds all its partners. Cells are compared in blocks of bounded size, each one matrix
-product in one task; a crowded cell only means more blocks.
+The exact join uses a tree of centres. A node with more than ``LEAF`` rows is split among centres taken from its own
+rows, as many as it has leaves' worth of rows but at most ``FAN``, and its children are split again, so the number of
+cells grows with the table. Each vector has one home cell, that of its nearest centre, and also visits every cell that can
+hold a partner: a partner lies within the angle of the threshold, so by the triangle inequality its angle to the cell's
+centre, and its side of the border between two centres, cannot differ by more. The home cell of a vector thus
+sees all its partners. Leaves are compared in blocks of bounded size, each one matrix product in one task.
+
+Centres travel as rows of the node they belong to, in front of the vectors that stream past them; nothing is
+collected or broadcast, and a large node is dealt over many tasks.
+
+Where no two vectors are far enough apart for the threshold (a low one, or vectors spread evenly in
+many dimensions) no exact method prunes. The ``approximate`` mode compares only vectors with equal signs on random
+directions, in as many bands as the wanted recall needs, and verifies them.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
 
 from datamill.functions.hashing import draw
 from datamill.functions.numbers import norm, unit
 from datamill.operators.first_wins import first_wins
 from datamill.session import cut_lineage, spread
 
-CENTRES = 64
+#: Rows of a cell that is not split; centres of a node; rows of a node that stream past one copy of its centres.
+LEAF, FAN, STREAM = 1_000, 256, 100_000
 BLOCK = 2_000
 SLACK = 1e-6
+#: Signs in a band of the hash index, and the share of pairs at the threshold that it finds.
+SIGNS, RECALL = 18, 0.99
 
 
 def distinct_units(df: DataFrame, order: str = "id", embedding: str = "embedding") -> tuple[DataFrame, DataFrame]:
@@ -35,43 +50,127 @@ def distinct_units(df: DataFrame, order: str = "id", embedding: str = "embedding
     return firsts.select(F.col("by").alias("ord"), unit("e").alias("v")), same
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """A column of equally long lists as rows of a matrix."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
+
+
+def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(a @ b.T, -1.0, 1.0))
+
+
 class Cells:
-    """Unit vectors placed into cells, for one cosine threshold."""
+    """Unit vectors placed into the cells of a tree of centres, for one cosine threshold."""
 
-    def __init__(self, units: DataFrame, threshold: float, centres: int = CENTRES):
-        self.threshold = threshold
+    def __init__(self, units: DataFrame, threshold: float, leaf: int | None = None, fan: int | None = None):
+        self.threshold, self.leaf, self.fan = threshold, leaf or LEAF, fan or FAN
+        self.angle = math.acos(min(1.0, max(-1.0, threshold))) + SLACK
         self.units = cut_lineage(spread(units))
-        picked = self.units.orderBy(draw("ord", "centre"), "ord").limit(centres).select("v").toPandas()["v"]
-        self.centres = np.array(picked.tolist(), dtype=np.float64).reshape(len(picked), -1)
 
     def placed(self) -> DataFrame:
-        """``(key, ord, home, v)``: each vector in its home cell and in all cells within reach."""
-        centres = self.centres
-        reach = float(np.sqrt(max(0.0, 2 - 2 * self.threshold))) + SLACK
-        gaps = np.sqrt(np.maximum(0.0, 2 - 2 * centres @ centres.T))
-
-        def place(batches):
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                vectors = np.array(pdf["v"].tolist(), dtype=np.float64)
-                squares = 2 - 2 * vectors @ centres.T
-                home = squares.argmin(axis=1)
-                at = np.arange(len(home))
-                # Distance to the border between the home cell and every other cell.
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    border = (squares - squares[at, home][:, None]) / (2 * gaps[home])
-                border[~np.isfinite(border)] = 0.0
-                row, cell = np.nonzero(border <= reach)
-                yield pd.DataFrame({
-                    "key": cell.astype(np.int64),
-                    "ord": pdf["ord"].to_numpy()[row],
-                    "home": cell == home[row],
-                    "v": pdf["v"].to_numpy()[row],
-                })
-
-        schema = f"key bigint, ord {self.units.schema['ord'].dataType.simpleString()}, home boolean, v array<double>"
-        return self.units.mapInPandas(place, schema)
+        """``(key, ord, home, v)``: each vector in its home cell and in all cells that may hold partners."""
+        rows = self.units.select(F.lit(0).cast("bigint").alias("key"), "ord", F.lit(True).alias("home"), "v")
+        done = None
+        while True:
+            sizes = rows.groupBy("key").agg(F.count_if("home").alias("homes"), F.count("*").alias("n"))
+            large = cut_lineage(sizes.where(F.col("homes") > self.leaf))
+            if large.isEmpty():
+                return rows if done is None else done.unionByName(rows)
+            small = rows.join(large, "key", "left_anti")
+            done = small if done is None else done.unionByName(small)
+            rows = cut_lineage(self._split(rows.join(large, "key"), large))
+
+    def _centres(self, rows: DataFrame) -> DataFrame:
+        """(key, slot, v): centres of each node, its home rows with the smallest hashes."""
+        wanted = F.least(F.lit(self.fan), F.ceil(F.col("homes") / self.leaf) + 1)
+        by_hash = Window.partitionBy("key").orderBy(draw("ord", "centre"), "ord")
+        ranked = rows.where("home").withColumn("slot", F.row_number().over(by_hash)).where(F.col("slot") <= self.fan)
+        return ranked.where(F.col("slot") <= wanted).select("key", "slot", "v")
+
+    def _stream(self, rows: DataFrame, centres: DataFrame, large: DataFrame) -> DataFrame:
+        """Rows of each node behind the node's centres, dealt over tasks by (key, part)."""
+        parts = F.ceil(F.col("n") / STREAM)
+        heads = centres.join(large, "key").select(
+            "key", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part"), "slot", F.lit(None).cast(rows.schema["ord"].dataType).alias("ord"),
+            F.lit(True).alias("home"), "v", *[c for c in ("least", "most") if c in centres.columns])
+        body = rows.select("key", F.pmod(F.xxhash64("ord"), parts).alias("part"), F.lit(None).cast("int").alias("slot"), "ord", "home", "v")
+        both = heads.unionByName(body, allowMissingColumns=True)
+        return both.repartition("key", "part").sortWithinPartitions("key", "part", F.col("slot").asc_nulls_last())
+
+    def _split(self, rows: DataFrame, large: DataFrame) -> DataFrame:
+        """The rows of large nodes in the nodes' children."""
+        centres = cut_lineage(self._centres(rows))
+        angle, fan = self.angle, self.fan
+
+        def segments(batches: Iterator[pa.RecordBatch]):
+            """Batches cut by node, each with the matrix of the node's centres and their angles."""
+            held, key = None, None
+            for batch in batches:
+                keys = batch.column("key").to_numpy()
+                parts = batch.column("part").to_numpy()
+                cuts = np.r_[0, np.flatnonzero((np.diff(keys) != 0) | (np.diff(parts) != 0)) + 1, len(keys)].tolist()
+                for low, high in zip(cuts[:-1], cuts[1:]):
+                    if high == low:
+                        continue
+                    if (keys[low], parts[low]) != key:
+                        key, held = (keys[low], parts[low]), None
+                    piece = batch.slice(low, high - low)
+                    slots = piece.column("slot")
+                    n = len(slots) - slots.null_count
+                    if n:
+                        new = [_matrix(piece.column("v").slice(0, n)), *[piece.column(c).slice(0, n).to_numpy(zero_copy_only=False) for c in ("least", "most") if c in batch.schema.names]]
+                        held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+                    if n < len(slots):
+                        yield int(key[0]), held, piece.slice(n)
+
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Least and greatest angle between a centre and the rows at home with it."""
+            for key, (c, *_), piece in segments(batches):
+                own = piece.filter(piece.column("home"))
+                if own.num_rows:
+                    found = _angles(_matrix(own.column("v")), c)
+                    nearest = found.argmin(axis=1)
+                    near = found[np.arange(len(nearest)), nearest]
+                    slots, at = np.unique(nearest, return_inverse=True)
+                    least, most = np.full(len(slots), np.inf), np.full(len(slots), -np.inf)
+                    np.minimum.at(least, at, near)
+                    np.maximum.at(most, at, near)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slots), key)), pa.array(slots + 1, pa.int32()), pa.array(least), pa.array(most)], ["key", "slot", "least", "most"])
+
+        ranges = self._stream(rows.where("home"), centres, large).mapInArrow(measure, "key bigint, slot int, least double, most double")
+        ranges = ranges.groupBy("key", "slot").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+        # A centre that no row is nearest to (it equals an earlier one) has an empty range.
+        centres = cut_lineage(centres.join(ranges, ["key", "slot"], "left").select(
+            "key", "slot", "v", F.coalesce("least", F.lit(9.0)).alias("least"), F.coalesce("most", F.lit(-9.0)).alias("most")))
+        sine = math.sin(min(angle, math.pi / 2))
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for key, (c, least, most), piece in segments(batches):
+                vectors = _matrix(piece.column("v"))
+                dots = vectors @ c.T
+                found = np.arccos(np.clip(dots, -1.0, 1.0))
+                nearest = found.argmin(axis=1)
+                at = np.arange(len(nearest))
+                visit = (found >= least - angle) & (found <= most + angle)
+                if angle < math.pi / 2:
+                    # Beyond the border with the nearest centre by more than the angle; the border is a plane through 0.
+                    gaps = np.sqrt(np.maximum(0.0, 2 - 2 * c @ c.T))[nearest]
+                    visit &= dots[at, nearest][:, None] - dots <= sine * gaps + SLACK
+                home = piece.column("home").to_numpy(zero_copy_only=False)
+                visit[at[home], nearest[home]] = True
+                row, slot = np.nonzero(visit)
+                taken = piece.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key * (fan + 1) + slot + 1), taken.column("ord"), pa.array(home[row] & (slot == nearest[row])), taken.column("v")], ["key", "ord", "home", "v"])
+
+        kind = rows.schema["ord"].dataType.simpleString()
+        return self._stream(rows, centres, large).mapInArrow(place, f"key bigint, ord {kind}, home boolean, v array<double>")
+
+    def visits(self, placed: DataFrame) -> DataFrame:
+        """One row: vectors, cells, and the mean number of cells a vector is in."""
+        total = placed.agg(F.count_if("home").alias("vectors"), F.count_distinct("key").alias("cells"), F.count("*").alias("n"))
+        return total.select("vectors", "cells", (F.col("n") / F.col("vectors")).alias("cells_per_vector"))
 
     def verify(self, cands: DataFrame) -> DataFrame:
         lo = self.units.select(F.col("ord").alias("lo"), F.col("v").alias("a"))
@@ -84,8 +183,7 @@ class Cells:
         sizes = placed.groupBy("key").agg(
             F.ceil(F.count_if("home") / BLOCK).alias("left_blocks"), F.ceil(F.count("*") / BLOCK).alias("right_blocks")
         )
-        # At most one row per centre.
-        blocks = placed.join(F.broadcast(sizes), "key")
+        blocks = placed.join(sizes, "key")
         spot = F.xxhash64("ord")
         left = blocks.where("home").select(
             "key", F.pmod(spot, F.col("left_blocks")).alias("i"),
@@ -115,27 +213,73 @@ class Cells:
         )
 
 
-def cosine_pairs(df: DataFrame, threshold: float = 0.92, order: str = "id", embedding: str = "embedding") -> DataFrame:
-    """``(lo, hi, similarity)`` of all distinct embeddings with at least this cosine."""
+class SignIndex:
+    """Unit vectors by their signs on random directions: an index in which similar vectors share keys, most of them.
+
+    Two vectors at the threshold agree in a sign with probability 1 - angle / pi, so in a band of ``signs`` with that
+    to the power of ``signs``; bands are added until the wanted recall is reached. Nearer pairs are found more often.
+    """
+
+    def __init__(self, units: DataFrame, threshold: float, recall: float = RECALL, signs: int = SIGNS):
+        self.threshold, self.signs = threshold, signs
+        self.units = cut_lineage(spread(units))
+        equal = (1 - math.acos(min(1.0, threshold)) / math.pi) ** signs
+        self.bands = max(1, math.ceil(math.log(1 - recall) / math.log1p(-equal))) if equal < 1 else 1
+
+    def index(self) -> DataFrame:
+        """``(key, ord)``, one row per band."""
+        bands, signs = self.bands, self.signs
+
+        def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                vectors = _matrix(batch.column("v"))
+                directions = np.random.default_rng(7).normal(size=(vectors.shape[1], bands * signs))
+                bits = (vectors @ directions > 0).reshape(len(vectors), bands, signs)
+                codes = bits @ (1 << np.arange(signs, dtype=np.int64)) * bands + np.arange(bands)
+                yield pa.RecordBatch.from_arrays([pa.array(codes.ravel()), batch.column("ord").take(pa.array(np.repeat(np.arange(len(vectors)), bands)))], ["key", "ord"])
+
+        return self.units.mapInArrow(keys, f"key bigint, ord {self.units.schema['ord'].dataType.simpleString()}")
+
+    def verify(self, cands: DataFrame, keep_similarity: bool = False) -> DataFrame:
+        lo = self.units.select(F.col("ord").alias("lo"), F.col("v").alias("a"))
+        hi = self.units.select(F.col("ord").alias("hi"), F.col("v").alias("b"))
+        score = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x).alias("similarity")
+        found = cands.join(lo, "lo").join(hi, "hi").select("lo", "hi", score).where(F.col("similarity") >= self.threshold)
+        return found if keep_similarity else found.select("lo", "hi")
+
+    def pairs(self, index: DataFrame, keep_similarity: bool = False) -> DataFrame:
+        both = index.withColumnRenamed("ord", "lo").join(index.withColumnRenamed("ord", "hi"), "key").where("lo < hi")
+        return self.verify(both.select("lo", "hi").distinct(), keep_similarity)
+
+
+def cosine_pairs(df: DataFrame, threshold: float = 0.92, order: str = "id", embedding: str = "embedding", approximate: bool = False) -> DataFrame:
+    """``(lo, hi, similarity)`` of all distinct embeddings with at least this cosine; ``approximate``: of nearly all."""
     units, _ = distinct_units(df, order, embedding)
+    if approximate:
+        signs = SignIndex(units, threshold)
+        return signs.pairs(cut_lineage(signs.index()), keep_similarity=True)
     cells = Cells(units, threshold)
-    return cells.pairs(cells.placed())
+    return cells.pairs(cut_lineage(cells.placed()))
 
 
-def semantic_duplicates(df: DataFrame, threshold: float = 0.92, order: str = "id", embedding: str = "embedding") -> DataFrame:
+def semantic_duplicates(df: DataFrame, threshold: float = 0.92, order: str = "id", embedding: str = "embedding", approximate: bool = False) -> DataFrame:
     """``(ord, by)`` of rows whose embedding is close to that of an earlier kept row."""
     units, same = distinct_units(df, order, embedding)
+    if approximate:
+        signs = SignIndex(units, threshold)
+        return first_wins(cut_lineage(signs.index()), signs.verify, signs.pairs).unionByName(same)
     cells = Cells(units, threshold)
 
     def pairs(rest: DataFrame) -> DataFrame:
         return cells.pairs(rest).select("lo", "hi")
 
-    return first_wins(cut_lineage(cells.placed()), cells.verify, pairs).unionByName(same)
+    # Pairs of a cell are found in matrix products, so a cell is crowded later than other keys.
+    return first_wins(cut_lineage(cells.placed()), cells.verify, pairs, crowded=4 * BLOCK).unionByName(same)
 
 
-def semantic_deduplicate(df: DataFrame, threshold: float = 0.92, order: str = "id", embedding: str = "embedding") -> DataFrame:
+def semantic_deduplicate(df: DataFrame, threshold: float = 0.92, order: str = "id", embedding: str = "embedding", approximate: bool = False) -> DataFrame:
     """Kept rows under the first-wins rule on cosine; rows without an embedding are kept."""
     if threshold <= 0:
         raise ValueError("threshold must be above 0")
-    gone = semantic_duplicates(df, threshold, order, embedding)
+    gone = semantic_duplicates(df, threshold, order, embedding, approximate)
     return df.join(gone.select(F.col("ord").alias(order)), order, "left_anti")

@@ -80,8 +80,10 @@ def test_leader_rounds_give_the_same_rows(rows, monkeypatch):
     rng = np.random.default_rng(2)
     texts = [texts[i] for i in rng.permutation(len(texts))]
     df = rows([(i, x, "") for i, x in enumerate(texts)], SCHEMA)
-    monkeypatch.setattr(FW, "DENSE", 0.0)
-    assert ids(D.deduplicate(df, 0.8)) == greedy(texts, 0.8)
+    gone = D.GramSets(D._first_texts(df, "id", "text", None), 0.8)
+    left = FW.first_wins(gone.index(), gone.verify, gone.pairs, crowded=1).unionByName(gone.same)
+    exact = D.drop_exact(df).join(left.selectExpr("ord AS id"), "id", "left_anti")
+    assert ids(exact) == greedy(texts, 0.8)
 
 
 def test_pairs_against_brute_force(rows):
@@ -129,19 +131,102 @@ def test_semantic_fixture(rows):
     assert ids(S.semantic_deduplicate(df, 0.99)) == [1, 3, 4, 5]
 
 
-@pytest.mark.parametrize("dense", [64.0, 0.0])
-def test_semantic_against_brute_force(rows, monkeypatch, dense):
-    rng = np.random.default_rng(3)
-    base = rng.normal(size=(12, 8))
-    vectors = np.array([base[rng.integers(12)] + rng.normal(scale=0.35, size=8) for _ in range(180)])
+def planted(n, seed, groups=12, scale=0.35, dims=8):
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(groups, dims))
+    return np.array([base[rng.integers(groups)] + rng.normal(scale=scale, size=dims) for _ in range(n)])
+
+
+def similarities(vectors):
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    return unit @ unit.T
+
+
+@pytest.mark.parametrize("leaf, fan, block", [(1000, 256, 2000), (20, 256, 16), (10, 4, 16)])
+def test_semantic_against_brute_force(rows, monkeypatch, leaf, fan, block):
+    """One cell, one level and several levels of the tree give the pairs and rows of the plain search."""
+    vectors = planted(180, 3)
     vectors[50] = vectors[10]
+    vectors[60] = 2 * vectors[11]
     df = rows([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, embedding array<double>")
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    scores = unit @ unit.T
+    scores = similarities(vectors)
     kept = []
-    for i in range(len(unit)):
+    for i in range(len(vectors)):
         if not kept or scores[i, kept].max() < 0.92:
             kept.append(i)
-    monkeypatch.setattr(FW, "DENSE", dense)
-    monkeypatch.setattr(S, "BLOCK", 16)
+    for name, value in (("LEAF", leaf), ("FAN", fan), ("BLOCK", block), ("STREAM", 70)):
+        monkeypatch.setattr(S, name, value)
     assert ids(S.semantic_deduplicate(df, 0.92)) == kept
+    first = [i for i in range(180) if i != 50]
+    for t in (0.92, 0.3, -0.2) if leaf == 10 else (0.92,):
+        want = {(a, b) for a in first for b in first if a < b and scores[a, b] >= t}
+        found = values(S.cosine_pairs(df, t), "lo", "hi")
+        assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_cells_of_near_copies(rows, monkeypatch):
+    """Planted near copies: a vector is in a small share of the cells, whose number grows with the table."""
+    monkeypatch.setattr(S, "LEAF", 20)
+    cells = {}
+    for n in (500, 2000):
+        vectors = planted(n, 5, groups=n // 25, scale=0.02, dims=64)
+        df = rows([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, embedding array<double>")
+        tree = S.Cells(S.distinct_units(df)[0], 0.92)
+        report = tree.visits(tree.placed()).first()
+        assert report.vectors == n and report.cells_per_vector < 0.1 * report.cells
+        cells[n] = report.cells
+    assert cells[2000] > 3 * cells[500]
+
+
+def test_sign_index_finds_nearly_all(rows):
+    vectors = planted(600, 8, groups=60, scale=0.3, dims=16)
+    df = rows([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, embedding array<double>")
+    scores = similarities(vectors)
+    want = {(a, b) for a in range(600) for b in range(a + 1, 600) if scores[a, b] >= 0.92}
+    found = set(values(S.cosine_pairs(df, 0.92, approximate=True), "lo", "hi"))
+    assert found <= want and len(found) >= 0.97 * len(want) and len(want) > 100
+    kept = ids(S.semantic_deduplicate(df, 0.92, approximate=True))
+    assert len(kept) <= 1.05 * len(ids(S.semantic_deduplicate(df, 0.92)))
+
+
+# --- resolver ------------------------------------------------------------------------------------
+
+
+def first_wins_of(edges):
+    by = {}
+    for lo, hi in sorted(edges, key=lambda e: (e[1], e[0])):
+        if lo not in by and hi not in by:
+            by[hi] = lo
+    return by
+
+
+def test_chain_of_ten_thousand_links_is_one_task(rows, monkeypatch):
+    calls = []
+    monkeypatch.setattr(FW, "cut_lineage", lambda df: calls.append(1) or df.checkpoint())
+    edges = rows([(i, i + 1) for i in range(10_000)], "lo long, hi long")
+    assert sorted(r[0] for r in values(FW.resolve_edges(edges), "ord")) == list(range(1, 10_001, 2))
+    assert len(calls) < 5
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_components_larger_than_a_task(rows, monkeypatch, kind):
+    """A long chain, a clique, a hub and small groups, with parts of 60 pairs."""
+    monkeypatch.setattr(FW, "TASK_PAIRS", 60)
+    monkeypatch.setattr(FW, "SAMPLE", 50)
+    rng = np.random.default_rng(4)
+    edges = {(i, i + 1) for i in range(150)} | {(a, b) for a in range(400, 420) for b in range(a + 1, 420)} | {(500, i) for i in range(501, 580)}
+    for _ in range(200):
+        a, b = sorted(rng.integers(700, 900, 2).tolist())
+        edges |= {(a, b)} if a < b else set()
+    name = (lambda x: f"r{x:04d}") if kind == "string" else int
+    df = rows([(name(a), name(b)) for a, b in edges], f"lo {kind}, hi {kind}")
+    got = {r.ord: r.by for r in FW.resolve_edges(df).collect()}
+    want = first_wins_of(edges)
+    assert got.keys() == {name(x) for x in want}
+    assert all(by not in got and by < row for row, by in got.items())
+
+
+def test_components(rows):
+    edges = [(i, i + 1) for i in range(200)] + [(300, 400), (350, 400), (401, 500)]
+    got = dict(values(FW.components(rows(edges, "lo long, hi long")), "node", "component"))
+    assert got == {**{i: 0 for i in range(201)}, 300: 300, 350: 300, 400: 300, 401: 401, 500: 401}
