@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from datamill.functions.hashing import draw
-from datamill.functions.text import example_features, jaccard_from_sizes, ngrams, similarity_from_jaccards, text_similarity, tokenize
+from datamill.functions.text import example_features, ngrams, text_similarity, tokenize
+from datamill.operators.topk import best_rows
 from datamill.session import cut_lineage, spread
 
 
@@ -96,25 +97,14 @@ def _terms(df: DataFrame, id: str, text: str) -> DataFrame:
 def similar_for_queries(df: DataFrame, queries: DataFrame, k: int = 5, id: str = "id", query_id: str = "query_id", text: str = "text") -> DataFrame:
     """``(query_id, id, similarity, rank)``: the k most similar rows of every query.
 
-    Rows meet queries through shared words and word pairs, which are counted before and after the
-    shuffle; rows sharing nothing have similarity 0 and only fill up queries with fewer than k
-    partners, lowest ids first.
+    Rows meet queries through shared words and word pairs, see :mod:`datamill.operators.topk`; rows sharing nothing
+    have similarity 0 and only fill up queries with fewer than k partners, lowest ids first.
     """
     q = _terms(queries, query_id, text).select(query_id, F.col("words").alias("q_words"), F.col("pairs").alias("q_pairs"), "terms")
+    q = cut_lineage(q)
     d = _terms(df, id, text)
-    shared = (
-        d.select(id, "words", "pairs", F.explode("terms").alias("term"))
-        .join(q.select(query_id, "q_words", "q_pairs", F.explode("terms").alias("term")), "term")
-        .groupBy(query_id, "q_words", "q_pairs", id, "words", "pairs")
-        .agg(F.count_if(F.startswith("term", F.lit("u "))).alias("su"), F.count_if(F.startswith("term", F.lit("b "))).alias("sb"))
-    )
-    uni = jaccard_from_sizes(F.col("su"), F.col("words"), F.col("q_words"))
-    bi = F.when((F.col("pairs") == 0) & (F.col("q_pairs") == 0), uni).otherwise(
-        jaccard_from_sizes(F.col("sb"), F.col("pairs"), F.col("q_pairs"))
-    )
-    scored = shared.select(query_id, id, similarity_from_jaccards(uni, bi).alias("similarity"))
     best = Window.partitionBy(query_id).orderBy(F.desc("similarity"), id)
-    top = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    top = cut_lineage(best_rows(d, q, k, id, query_id).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k))
 
     # At most 2k lowest ids (and k rows without words, equal to a query without words) can fill up.
     low = d.select(id, "words").orderBy(id).limit(2 * k).unionByName(

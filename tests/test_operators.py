@@ -1,10 +1,13 @@
 import math
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import values
 from pyspark.sql import functions as F
 
-from datamill.operators import active as A, augment as G, metrics as M, profile as P, select as S, sequences as Q, split as W, validate as V, vote as O
+from datamill.functions import text as T
+from datamill.operators import active as A, augment as G, metrics as M, profile as P, select as S, sequences as Q, split as W, topk, validate as V, vote as O
 from datamill.plans import evaluate
 
 
@@ -220,3 +223,39 @@ def test_null_text_keeps_its_line(rows):
 
     df = rows([(0, 0, "a"), (0, 1, None), (0, 2, "c")], "batch long, index int, text string")
     assert '0: "a"\n1: null\n2: "c"' in zero_shot_requests(df).first()["prompt"]
+
+
+def test_similar_for_queries_against_brute_force(rows, monkeypatch):
+    """Same ranks as scoring every pair, while far fewer pairs are scored than there are."""
+    rng = np.random.default_rng(6)
+    vocabulary = [f"w{i}" for i in range(400)]
+    share = 1 / np.arange(1, 401)
+    text = lambda n: " ".join(rng.choice(vocabulary, n, p=share / share.sum()))
+    docs = [(i, text(rng.integers(0, 60))) for i in range(600)]
+    queries = [(i, text(rng.integers(0, 30))) for i in range(12)] + [(20 + i, docs[7 * i][1] + " more words") for i in range(12)] + [(50, None), (51, "w0"), (52, "unseen")]
+    docs += [(900, None), (901, ""), (902, "w0")]
+    d, q = rows(docs, "id long, text string"), rows(queries, "query_id long, text string")
+    monkeypatch.setattr(topk, "BLOCK_TERMS", 300)  # several passes
+    got = {(r.query_id, r.rank): (r.id, round(r.similarity, 9)) for r in S.similar_for_queries(d, q, 4).collect()}
+    pairs = d.join(q.withColumnRenamed("text", "other"), F.lit(True)).select(
+        "query_id", "id", F.round(T.text_similarity(F.coalesce("text", F.lit("")), F.coalesce("other", F.lit(""))), 9).alias("s"))
+    by = {}
+    for query, id_, s in pairs.collect():
+        by.setdefault(query, []).append((-s, id_))
+    want = {(query, r + 1): (id_, -s) for query, found in by.items() for r, (s, id_) in enumerate(sorted(found)[:4])}
+    assert got == want
+
+
+def test_similar_rows_are_scored_for_few_pairs():
+    """Copies and rarer words decide; pairs that share common words only are not looked at in full."""
+    rng = np.random.default_rng(6)
+    share = 1 / np.arange(1, 2001)
+    texts = [sorted({f"u w{i}" for i in rng.choice(2000, 25, p=share / share.sum())}) for _ in range(3000)]
+    queries = [texts[i][:-2] for i in range(0, 1000, 20)]
+    index = topk.QueryIndex([len(t) for t in queries], [0] * 50, queries, 1)
+    search = topk.Search(index)
+    for low in range(0, 3000, 100):
+        part = texts[low:low + 100]
+        search.add(np.arange(low, low + 100), np.array([len(t) for t in part]), np.zeros(100, np.int64), pa.array(part))
+    assert search.found[0].tolist() == list(range(50)) and search.found[2].tolist() == list(range(0, 1000, 20))
+    assert search.scored < 0.2 * 3000 * 50
