@@ -7,15 +7,21 @@ as a plain filter on (hash, id). The texts are never shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from datamill.functions.fixed_values import DEFAULT_SPLIT_RATIO
 from datamill.functions.hashing import draw
+from datamill.session import cut_lineage
 
 BUCKETS = 4096
+#: Strata whose cuts are sent to all tasks instead of a shuffle.
+SENT_STRATA = 10_000
 
 
 def _stratum(by: list[str]) -> Column:
@@ -67,11 +73,10 @@ def split(df: DataFrame, ratio: float = DEFAULT_SPLIT_RATIO, id: str = "id", sal
 
 
 def ordered_split(df: DataFrame, ratio: float = DEFAULT_SPLIT_RATIO, id: str = "id") -> DataFrame:
-    """Adds ``is_train`` for the first floor(n * ratio) rows by (numeric) id."""
-    ids = df.select(id)
-    numbered = number_rows(ids, id)
+    """Adds ``is_train`` for the first floor(n * ratio) rows by id; rows with the id at the cut stay together behind it."""
+    positions = id_positions(df, id)
     total = df.agg(F.floor(F.count("*") * F.lit(ratio))).scalar()
-    cut = numbered.where(F.col("row_no") == total).agg(F.min(id)).scalar()
+    cut = positions.where((F.col("first") <= total) & (total < F.col("first") + F.col("n"))).agg(F.min("id")).scalar()
     return df.withColumn("is_train", F.coalesce(F.col(id) < cut, F.lit(True)))
 
 
@@ -89,6 +94,9 @@ def stratified_split(
     place = draw(id, salt)
     size = F.floor(F.col("_total") * F.lit(ratio)).cast("bigint")
     cuts = _cuts(df, place, id, [by], F.array(size)).select("_s", F.get("_cuts", 0).alias("_cut"))
+    cuts = cut_lineage(cuts)
+    # A small row per stratum: sent to the rows if it is few, so that they are not shuffled by their label.
+    cuts = F.broadcast(cuts) if cuts.count() <= SENT_STRATA else cuts
     here = F.struct(place.alias("u"), F.col(id).alias("id"))
     joined = df.withColumn("_s", _stratum([by])).join(cuts, "_s", "left")
     return joined.withColumn("is_train", F.coalesce(here < F.col("_cut"), F.lit(True))).drop("_s", "_cut")
@@ -117,31 +125,41 @@ def fold_rows(folds: DataFrame, fold: int) -> tuple[DataFrame, DataFrame]:
     return folds.where(F.col("fold") != fold), folds.where(F.col("fold") == fold)
 
 
+def id_positions(df: DataFrame, id: str = "id") -> DataFrame:
+    """``(id, n, first)``: how often each id occurs and the 0-based position of its first row in the order of the ids.
+
+    Ids of any type that has an order are dealt over tasks by ranges and counted there; a task's counts are moved up by
+    those of the ranges before it, a table with a row per task.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, before = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            ends = before + np.cumsum(batch.column(1).to_numpy())
+            if len(ends):
+                before = int(ends[-1])
+                first = ends - batch.column(1).to_numpy()
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first), pa.array(np.full(len(ends), part, np.int32))], ["id", "n", "first", "part"])
+
+    ids = df.groupBy(F.col(id).alias("id")).agg(F.count("*").alias("n")).repartitionByRange("id").sortWithinPartitions("id")
+    kind = ids.schema["id"].dataType.simpleString()
+    placed = cut_lineage(ids.mapInArrow(count, f"id {kind}, n bigint, first bigint, part int"))
+    sizes = placed.groupBy("part").agg(F.sum("n").alias("rows"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"))
+    return placed.join(F.broadcast(offsets), "part").select("id", "n", (F.col("first") + F.col("before")).alias("first"))
+
+
 def number_rows(df: DataFrame, id: str = "id") -> DataFrame:
-    """Adds ``row_no``, the 0-based position by (numeric) id, without sorting in one task.
+    """Adds ``row_no``, the 0-based position in the order of the ids, null first; rows with one id follow each other.
 
-    Ids are put into buckets at approximate quantiles, numbered inside each bucket, and moved up
-    by the number of rows in earlier buckets. That table has a row per bucket, a few per core, so
-    it is sent to all tasks.
+    Only ids are ordered; the rows meet their positions in a join by id.
     """
-    value = F.col(id).cast("double")
-    buckets = min(BUCKETS, 4 * df.sparkSession.sparkContext.defaultParallelism)
-    quantiles = [i / buckets for i in range(1, buckets)]
-    ends = sorted(set(df.agg(F.percentile_approx(value, quantiles).alias("q")).first()["q"] or []))
-    placed = df.withColumn("_v", value)
-    splits = [float("-inf"), *[float(e) for e in ends], float("inf")]
-    placed = Bucketizer(splits=splits, inputCol="_v", outputCol="_b").transform(placed).drop("_v") if ends else (
-        placed.withColumn("_b", F.lit(0.0)).drop("_v")
-    )
-    counts = placed.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_b").orderBy(id))
+    positions = id_positions(df, id).select(F.col("id").alias("_id"), "first")
+    again = F.row_number().over(Window.partitionBy("_id").orderBy("first"))
     return (
-        placed.withColumn("_rn", inside)
-        .join(F.broadcast(offsets), "_b")
-        .withColumn("row_no", (F.col("_before") + F.col("_rn") - 1).cast("bigint"))
-        .drop("_b", "_rn", "_before")
+        df.join(positions, df[id].eqNullSafe(positions["_id"]))
+        .withColumn("row_no", (F.col("first") + again - 1).cast("bigint"))
+        .drop("_id", "first")
     )
 
 

@@ -42,6 +42,28 @@ def test_folds(spark, n, k):
     assert all(sizes.get(f, 0) == n // k for f in range(k - 1))
 
 
+@pytest.mark.parametrize("kind", ["string", "double", "date"])
+def test_row_numbers_of_any_id(spark, rows, kind):
+    """Ids of other types, with repeats and nulls, are numbered in their own order; splits by order follow."""
+    names = {"string": lambda i: f"{i * 7919 % 1000:04d}-x", "double": lambda i: i * 7919 % 1000 / 8, "date": lambda i: f"20{10 + i % 80}-01-{1 + i % 28:02d}"}
+    data = [(names[kind](i), i) for i in range(500)] + [(None, 500), (None, 501), (names[kind](3), 502)]
+    df = rows(data, f"id {'string' if kind == 'date' else kind}, n long").withColumn("id", F.col("id").cast(kind)).repartition(6)
+    got = values(W.number_rows(df).orderBy("row_no"), "row_no", "id", "n")
+    assert [r[0] for r in got] == list(range(503)) and len({r[2] for r in got}) == 503
+    ids = [r[1] for r in got]
+    assert ids[:2] == [None, None] and ids[2:] == sorted(ids[2:])
+    assert sorted(r[0] for r in values(W.batches(df, 100).groupBy("batch").count(), "batch")) == list(range(6))
+    train = values(W.ordered_split(df, 0.8).where("is_train"), "id")
+    assert 395 <= len(train) <= 402 and all(x is None or x < ids[402] for x, in train)
+
+
+def test_stratified_split_without_broadcast(spark, rows, monkeypatch):
+    df = rows([(i, f"l{i % 5}") for i in range(100)], "id long, label string")
+    sent = sorted(values(W.stratified_split(df), "id", "is_train"))
+    monkeypatch.setattr(W, "SENT_STRATA", 0)
+    assert sorted(values(W.stratified_split(df), "id", "is_train")) == sent and sum(t for _, t in sent) == 80
+
+
 def test_row_numbers_and_batches(spark):
     df = spark.range(1000).select((F.col("id") * 7 - 3000).alias("id"))
     got = values(W.number_rows(df).orderBy("id"), "row_no")
