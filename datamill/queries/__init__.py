@@ -1,8 +1,8 @@
 """All registered queries with their SQL texts."""
 
-from datamill.queries import dataset, evaluation, labelling, models, selection, tracking
+from datamill.queries import dataset, evaluation, jobs, labelling, models, selection, tracking
 
-MODULES = [dataset, evaluation, labelling, selection, tracking, models]
+MODULES = [dataset, evaluation, labelling, selection, tracking, jobs, models]
 
 
 def all_queries() -> dict:

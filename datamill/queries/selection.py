@@ -125,13 +125,3 @@ ORDER BY 0.6 * (su / (len(u1) + 4 - su)::double) + 0.4 * (sb / (len(b1) + 3 - sb
 def _(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     return S.select_examples("similar", docs, k=5, query="the for and with").select("id", F.round("similarity", 6).alias("similarity"))
-
-
-@query("few_shot_sets", EX + f"""
-, t AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY {u('id', 'balanced')}, id) AS turn, min(id) OVER (PARTITION BY label) AS first FROM examples)
-SELECT * FROM (SELECT 'balanced' AS strategy, id FROM t ORDER BY turn, first LIMIT 5)
-""" + "\n".join(
-    f"UNION ALL SELECT * FROM (SELECT 'random_{i}' AS strategy, id FROM examples ORDER BY {u('id', f'random_{i}')}, id LIMIT 5)" for i in (1, 2, 3)
-))
-def _(spark, sf):
-    return S.candidate_sets(examples(spark, sf), k=5, strategies=("random", "balanced")).select("strategy", "id")

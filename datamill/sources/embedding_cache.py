@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from datamill.functions.fixed_values import EMBED_BATCH
 from datamill.functions.hashing import text_key
+from datamill.session import cut_lineage
 from datamill.sources.tables import append, clear, latest, live, read_table
 
 CACHE = T.StructType([
@@ -58,21 +59,44 @@ def attach(texts: DataFrame, cache: DataFrame, model: str, text: str = "text") -
 
 
 def embed(missing: DataFrame, model: str, call: Callable[[list[str]], list[list[float]]], text: str = "text", size: int = EMBED_BATCH) -> DataFrame:
-    """Vectors of the given texts from a user function, called with at most ``size`` texts."""
+    """Vectors of the given texts from a user function, called with at most ``size`` texts.
+
+    A call fails if it raises or does not return a vector per text; its texts are then sent one by one. Texts that fail
+    alone too are left out and stay open in the cache.
+    """
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def some(texts: list[str]) -> list | None:
+            try:
+                vectors = list(call(texts))
+            except Exception:
+                return None
+            return vectors if len(vectors) == len(texts) else None
+
         for pdf in frames:
-            vectors: list = []
             for start in range(0, len(pdf), size):
-                vectors += call(pdf[text].iloc[start:start + size].tolist())
-            yield pd.DataFrame({"key": pdf["key"], "model": model, "embedding": vectors})
+                part = pdf.iloc[start:start + size]
+                texts = part[text].tolist()
+                vectors = some(texts)
+                if vectors is None:
+                    vectors = [(some([t]) or [None])[0] for t in texts] if len(texts) > 1 else [None]
+                rows = [(k, model, v) for k, v in zip(part["key"], vectors) if v is not None]
+                yield pd.DataFrame(rows, columns=["key", "model", "embedding"])
 
     return missing.select("key", text).mapInPandas(run, "key string, model string, embedding array<float>")
 
 
-def embed_through_cache(texts: DataFrame, path: str, model: str, call: Callable[[list[str]], list[list[float]]], text: str = "text") -> DataFrame:
-    """Texts with vectors; only texts the cache does not know are embedded, once each, and kept."""
+def embed_through_cache(
+    texts: DataFrame, path: str, model: str, call: Callable[[list[str]], list[list[float]]], text: str = "text", wave_rows: int = 100_000,
+) -> DataFrame:
+    """Texts with vectors; only texts the cache does not know are embedded, once each, and kept.
+
+    They are embedded in waves, each put into the cache on its own, so a job that ends early keeps the waves before.
+    """
     spark = texts.sparkSession
-    put(embed(misses(texts, read_cache(spark, path), model, text), model, call, text), path)
+    todo = cut_lineage(misses(texts, read_cache(spark, path), model, text))
+    waves = -(-todo.count() // wave_rows)
+    for wave in range(waves):
+        put(embed(todo.where(F.pmod(F.xxhash64("key"), F.lit(waves)) == wave), model, call, text), path)
     return attach(texts, read_cache(spark, path), model, text)
 
 
