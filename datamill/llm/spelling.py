@@ -101,15 +101,16 @@ def _tiles(words: DataFrame) -> DataFrame:
     words = written(words.select("word", "n", _profile(F.col("word")).alias("home")), "words")
     blocks = words.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
     blocks = written(blocks, "blocks")
-    own = words.join(blocks, "home").withColumn("block", F.pmod(F.xxhash64("word"), F.col("blocks")).cast("int"))
+    # Tables of blocks grow with the words and are larger than their files: never broadcast.
+    own = words.join(blocks.hint("merge"), "home").withColumn("block", F.pmod(F.xxhash64("word"), F.col("blocks")).cast("int"))
     homes = own.select("home", "block", F.lit(False).alias("visit"), "word", "n")
     # Words of one profile in several blocks: a word also visits the later blocks.
     split = own.where("block + 1 < blocks").select(
         "home", F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)).alias("block"), F.lit(True).alias("visit"), "word", "n")
     moved = blocks.select(F.col("home").alias("profile"), F.explode(_moves()).alias("move"))
     moved = moved.select("profile", F.zip_with("profile", "move", lambda a, b: (a + b).cast("smallint")).alias("home"))
-    ways = moved.join(blocks, "home").select("profile", "home", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    visits = words.withColumnRenamed("home", "profile").join(ways, "profile")
+    ways = moved.join(blocks.hint("merge"), "home").select("profile", "home", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    visits = words.withColumnRenamed("home", "profile").join(ways.hint("merge"), "profile")
     return homes.unionByName(split).unionByName(visits.select("home", "block", F.lit(True).alias("visit"), "word", "n"))
 
 
