@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import itertools
 import json
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import (
     IDF, PCA, CountVectorizer, HashingTF, IndexToString, NGram, Normalizer, RegexTokenizer, SQLTransformer, StandardScaler, StringIndexer,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -60,23 +64,51 @@ def with_vector(df: DataFrame, embedding: str = "embedding", output: str = "_vec
     return df.withColumn(output, array_to_vector(F.col(embedding).cast("array<double>")))
 
 
+def product_sums(rows: DataFrame, input: str = "_vector") -> np.ndarray:
+    """The sum of ``[1, x] [1, x]^T`` over all vectors: their number, their sum, and their matrix of products.
+
+    One pass: a task adds the products of its blocks, the tasks' matrices are added line by line on the executors, and
+    only the sum, with a row and a column per dimension, reaches the driver.
+    """
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+            x = np.c_[np.ones(batch.num_rows), flat.reshape(batch.num_rows, -1)] if batch.num_rows else None
+            if x is not None:
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], ["line", "sums"])
+
+    def add(part: pa.Table) -> pa.Table:
+        sums = np.array(part.column("sums").to_pylist()).sum(axis=0)
+        return pa.table({"line": part.column("line").slice(0, 1), "sums": pa.array([sums], pa.list_(pa.float64()))})
+
+    kind = "line int, sums array<double>"
+    lines = rows.select(vector_to_array(input).alias("v")).mapInArrow(partial, kind).groupBy("line").applyInArrow(add, kind)
+    return np.array([r["sums"] for r in lines.orderBy("line").collect()])
+
+
 def fit_reduction(rows: DataFrame, method: str, components: int, input: str = "_vector", output: str = "features") -> PipelineModel:
     """Leading directions of the data; ``pca`` removes the mean first, ``svd`` does not.
 
-    The matrix of products has one row and column per dimension of the embedding, whatever the
-    number of rows. There are at most as many directions as dimensions and rows.
+    Both come from one sum of products. Spark's estimators are then fitted on tables with the same mean and the same
+    products, which have a few rows per dimension. There are at most as many directions as dimensions and rows.
     """
     if method not in ("pca", "svd"):
         raise ValueError(f"unknown reduction: {method}")
-    first = rows.select(F.size(vector_to_array(input))).first()
-    k = max(1, min(components, first[0] if first else 1, rows.count()))
-    scale = StandardScaler(withMean=method == "pca", withStd=False, inputCol=input, outputCol="_centred").fit(rows)
-    centred = scale.transform(rows).select("_centred")
-    if method == "svd":
-        # Every row also with the other sign: the mean is zero, so the covariance is the matrix of products.
-        turned = F.transform(vector_to_array("_centred"), lambda x: -x)
-        centred = centred.unionByName(centred.select(array_to_vector(turned).alias("_centred")))
-    return PipelineModel(stages=[scale, PCA(k=k, inputCol="_centred", outputCol=output).fit(centred)])
+    sums = product_sums(rows, input)
+    if not len(sums):
+        raise ValueError("nothing to reduce")
+    n, mean = sums[0, 0], sums[0, 1:] / sums[0, 0]
+    products = sums[1:, 1:] / n - (np.outer(mean, mean) if method == "pca" else 0.0)
+    sizes, directions = np.linalg.eigh(products)
+    root = np.sqrt(np.maximum(sizes, 0.0))[:, None] * directions.T
+    table = lambda x, name: rows.sparkSession.createDataFrame([(Vectors.dense(v),) for v in x], [name])
+    scale = StandardScaler(withMean=method == "pca", withStd=False, inputCol=input, outputCol="_centred").fit(table([mean], input))
+    # Every line of the root also with the other sign: the mean is zero and the products are those of the data.
+    k = max(1, min(components, len(mean), int(n)))
+    return PipelineModel(stages=[scale, PCA(k=k, inputCol="_centred", outputCol=output).fit(table([*root, *-root], "_centred"))])
 
 
 def classifier(algorithm: str, params: dict | None = None, rows: int = 1, features: str = "features", label: str = "_label") -> Estimator:
