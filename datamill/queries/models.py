@@ -102,7 +102,7 @@ def _(spark, sf):
     models = ml.train_ensemble(train, val)
     found = weighted_vote(ml.ensemble_predictions(models, val), 0.5)
     return found.select(
-        "id", _known(), F.col("agreement").between(0.33, 1).alias("agreed"), (F.col("rejected") == (F.col("confidence") < 0.5)).alias("decided"))
+        "id", (F.col("rejected") | F.col("label").isin(LABELS)).alias("known"), F.col("agreement").between(0.33, 1).alias("agreed"), (F.col("rejected") == (F.col("confidence") < 0.5)).alias("decided"))
 
 
 @query("feature_importance", """
