@@ -102,6 +102,10 @@ ZERO_SHOT_TAIL = (
     "\n\nRespond with ONLY a JSON array of strings (the predicted labels), "
     'e.g. ["label1", "label2", ...]'
 )
+# System texts of the requests to judge, to rate and to label without examples.
+QUALITY_SYSTEM = 'You are a training data quality evaluator for a {type} task: "{description}".'
+JUDGE_SYSTEM = 'You are a training data quality evaluator. Rate examples for a {type} task: "{description}".'
+ZERO_SHOT_SYSTEM = "You are a classifier. Task: {description}\nLabels: {labels}\nRespond with ONLY a JSON array of labels, one per input."
 CONTRAST = (
     'Generate {n} pairs of examples that are easily confused between "{a}" and "{b}".\n\n'
     "For each pair:\n"

@@ -151,23 +151,41 @@ def _row_json(*columns: str) -> Column:
     return F.concat(F.col("index").cast("string"), F.lit(": "), F.to_json(F.struct(*columns)))
 
 
-def quality_requests(batched: DataFrame) -> DataFrame:
-    """Requests to score rows of (batch, index, text, label)."""
-    body = batched.groupBy("batch").agg(_numbered(_row_json("text", "label")).alias("body"))
-    return body.select("batch", F.concat(F.lit(V.QUALITY_HEAD), F.col("body"), F.lit(V.QUALITY_TAIL)).alias("prompt"))
+def _asked(body: DataFrame, head: str, tail: str, system: str, task: dict | None) -> DataFrame:
+    """(batch, prompt) of batch bodies; with a task also ``system``, the text that says what the task is."""
+    rows = body.select("batch", F.concat(F.lit(head), F.col("body"), F.lit(tail)).alias("prompt"))
+    if task is None:
+        return rows
+    said = {"type": task["type"], "description": task.get("description") or "", "labels": ", ".join(task.get("labels") or [])}
+    return rows.withColumn("system", fill(system, **{k: F.lit(v) for k, v in said.items()}))
+
+
+def whole_prompt() -> Column:
+    """System text and prompt in one, for model functions that take one text."""
+    return F.concat("system", F.lit("\n\n"), "prompt")
+
+
+def quality_requests(batched: DataFrame, task: dict | None = None, columns: tuple[str, ...] = ("text", "label")) -> DataFrame:
+    """Requests to score the rows of (batch, index, ..) by the given columns, those of the whole row for other task types."""
+    body = batched.groupBy("batch").agg(_numbered(_row_json(*columns)).alias("body"))
+    return _asked(body, V.QUALITY_HEAD, V.QUALITY_TAIL, V.QUALITY_SYSTEM, task)
 
 
-def judge_requests(batched: DataFrame) -> DataFrame:
+def judge_requests(batched: DataFrame, task: dict | None = None) -> DataFrame:
+    """Requests to judge rows by text and label, or value where there is no label."""
+    if "value" in batched.columns:
+        value = F.col("value").cast("string")
+        batched = batched.withColumn("label", F.coalesce("label", value) if "label" in batched.columns else value)
     body = batched.groupBy("batch").agg(_numbered(_row_json("text", "label")).alias("body"))
-    return body.select("batch", F.concat(F.lit(V.JUDGE_HEAD), F.col("body"), F.lit(V.JUDGE_TAIL)).alias("prompt"))
+    return _asked(body, V.JUDGE_HEAD, V.JUDGE_TAIL, V.JUDGE_SYSTEM, task)
 
 
-def zero_shot_requests(batched: DataFrame) -> DataFrame:
+def zero_shot_requests(batched: DataFrame, task: dict | None = None) -> DataFrame:
     # A null text is written out, so that the answers by position stay with their rows.
     said = F.when(F.col("text").isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), F.col("text"), F.lit('"')))
     line = F.concat(F.col("index").cast("string"), F.lit(": "), said)
     body = batched.groupBy("batch").agg(_numbered(line).alias("body"))
-    return body.select("batch", F.concat(F.lit(V.ZERO_SHOT_HEAD), F.col("body"), F.lit(V.ZERO_SHOT_TAIL)).alias("prompt"))
+    return _asked(body, V.ZERO_SHOT_HEAD, V.ZERO_SHOT_TAIL, V.ZERO_SHOT_SYSTEM, task)
 
 
 def _answers_by_row(batched: DataFrame, parsed: DataFrame, fields: list[str]) -> DataFrame:

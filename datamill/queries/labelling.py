@@ -288,6 +288,26 @@ def _(spark, sf):
     return R.zero_shot_requests(batches(examples(spark, sf), 20))
 
 
+TASK = {"type": "classification", "description": "Guess the language", "labels": LABELS}
+TASK_SYSTEMS = {
+    "judge_requests": 'You are a training data quality evaluator. Rate examples for a classification task: "Guess the language".',
+    "quality_requests": 'You are a training data quality evaluator for a classification task: "Guess the language".',
+    "zero_shot_requests": "You are a classifier. Task: Guess the language\nLabels: de, en, es, fr\nRespond with ONLY a JSON array of labels, one per input.",
+}
+
+
+@query("task_requests", "\nUNION ALL\n".join(
+    f"SELECT '{name}' AS kind, batch, {q(system)} || chr(10) || chr(10) || prompt AS prompt FROM ({SQL[name]})" for name, system in TASK_SYSTEMS.items()))
+def _(spark, sf):
+    """Requests that say what the task is and which labels it has."""
+    rows = examples(spark, sf)
+    made = {
+        "judge_requests": R.judge_requests(batches(rows, 15), TASK), "quality_requests": R.quality_requests(batches(rows, 20), TASK),
+        "zero_shot_requests": R.zero_shot_requests(batches(rows, 20), TASK)}
+    parts = [part.select(F.lit(name).alias("kind"), "batch", R.whole_prompt().alias("prompt")) for name, part in made.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 LR_TOP = with_views(EXAMPLES, PREDS) + """, top AS (SELECT *, row_number() OVER (ORDER BY coalesce(1 - confidence, 1) DESC, id) AS rank FROM preds WHERE model = 'lr' ORDER BY rank LIMIT 10)
 """
 
