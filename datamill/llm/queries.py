@@ -36,18 +36,14 @@ held AS (
   SELECT site, unnest(list_distinct(list_transform(string_split(text, chr(10)), lambda x: trim(x, E' \t\n\x0b\f\r')))) AS line FROM pages),
 often AS (
   SELECT site, line FROM held JOIN totals USING (site) WHERE line <> '' GROUP BY site, line, pages
-  HAVING count(*) >= 10 AND count(*) > pages * 0.1::double),
+  HAVING count(*) >= 2 AND count(*) > pages * 0.1::double),
 lists AS (SELECT site, list(line) AS often FROM often GROUP BY 1),
 marked AS (
   SELECT doc_id, text, string_split(text, chr(10)) AS lines,
-         list_filter(string_split(text, chr(10)), lambda x: list_contains(coalesce(often, []), trim(x, E' \t\n\x0b\f\r'))) AS bad,
          list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(coalesce(often, []), trim(x, E' \t\n\x0b\f\r'))) AS good
-  FROM documents LEFT JOIN lists ON coalesce('=' || source, '-') = site),
-sized AS (
-  SELECT *, length(array_to_string(bad, '')) <= length(array_to_string(lines, '')) * 0.5::double AND len(bad) > 0 AS dropping FROM marked)
-SELECT doc_id, CASE WHEN dropping THEN array_to_string(good, chr(10)) ELSE text END AS text,
-       CASE WHEN text IS NULL THEN 0 ELSE len(lines) END::int AS n_lines, CASE WHEN dropping THEN len(bad) ELSE 0 END::int AS n_dropped
-FROM sized"""
+  FROM documents LEFT JOIN lists ON coalesce('=' || source, '-') = site)
+SELECT doc_id, array_to_string(good, chr(10)) AS text, coalesce(len(lines), 0)::int AS n_lines, coalesce(len(lines) - len(good), 0)::int AS n_dropped
+FROM marked"""
 
 
 @query("op4_line_dedup", LINE_DEDUP_SQL)

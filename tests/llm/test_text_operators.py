@@ -49,9 +49,36 @@ def rows(df, *columns):
 def test_lines_of_a_site(spark):
     texts = [f"own {i} line with its words\nAll rights reserved\n\nother {i} text of this page" for i in range(20)]
     data = [(i, t, "a") for i, t in enumerate(texts)] + [(100 + i, "All rights reserved\nmuch more text of the page %d" % i, "b") for i in range(9)]
+    data += [(200, "the only page\nof a site", "c"), (201, "All rights reserved", "b")]
     got = dict(rows(line_dedup.drop_boilerplate(spark.createDataFrame(data, "doc_id long, text string, source string")), "doc_id", "text"))
     assert got[3] == "own 3 line with its words\n\nother 3 text of this page"
-    assert got[101].startswith("All rights")  # nine pages are below min_pages
+    assert got[101] == "much more text of the page 1" and got[201] == ""  # small sites too
+    assert got[200] == "the only page\nof a site"
+
+
+def test_pages_that_are_mostly_boilerplate(spark):
+    data = [(i, f"a long common line at the head of each page\nanother common line at its foot\n{i}", "https://u@Site.org:80/%d?x" % i) for i in range(40)]
+    pages = spark.createDataFrame(data, "page_id long, text string, url string")
+    got = line_dedup.drop_boilerplate(pages, site=line_dedup.host(pages["url"]))
+    assert got.columns == ["page_id", "text", "url", "n_lines", "n_dropped"]
+    assert rows(got, "page_id", "text", "n_dropped") == sorted(((i, str(i), 2) for i in range(40)), key=repr)
+
+
+def test_lines_against_brute_force(spark):
+    rng = random.Random(8)
+    data = [(i, "\n".join(rng.choices([f"line {j}" for j in range(30)] + ["", " line 1\t"], weights=[9 - min(8, j // 2) for j in range(30)] + [4, 2], k=rng.randint(0, 6))), rng.choice(["a", "a", "b", None])) for i in range(60)]
+    data += [(100, None, "a"), (101, "", "b"), (102, data[0][1], data[0][2])]
+    pages = {s: {t or "" for _, t, other in data if other == s} for s in ("a", "b", None)}
+    held = lambda line, s: sum(line in {x.strip() for x in t.split("\n")} for t in pages[s])
+    bad = lambda x, s: x.strip() != "" and held(x.strip(), s) >= 2 and held(x.strip(), s) > 0.1 * len(pages[s])
+    expected = [(i, None if t is None else "\n".join(x for x in t.split("\n") if not bad(x, s))) for i, t, s in data]
+    got = line_dedup.drop_boilerplate(spark.createDataFrame(data, "doc_id long, text string, source string"))
+    assert rows(got, "doc_id", "text") == sorted(expected, key=repr)
+
+
+@pytest.mark.parametrize("url,expected", [("http://a.org", "a.org"), ("HTTPS://me:pw@A.Org:8080/x@y", "a.org"), ("a.org/x", None), ("", None), (None, None)])
+def test_host(spark, url, expected):
+    assert spark.createDataFrame([(url,)], "url string").select(line_dedup.host(F.col("url"))).first()[0] == expected
 
 
 def test_copies_are_no_boilerplate(spark):
@@ -60,9 +87,9 @@ def test_copies_are_no_boilerplate(spark):
     assert got.where("n_dropped > 0").count() == 0 and got.count() == 55
 
 
-def test_near_copies_are_left_alone(spark):
+def test_near_copies_can_be_left_alone(spark):
     data = [(i, f"head\nthe long common body of a page copied often\ntail {i}", "a") for i in range(30)]
-    got = line_dedup.drop_boilerplate(spark.createDataFrame(data, "doc_id long, text string, source string"))
+    got = line_dedup.drop_boilerplate(spark.createDataFrame(data, "doc_id long, text string, source string"), whole=0.5)
     assert got.where("n_dropped > 0").count() == 0
 
 
