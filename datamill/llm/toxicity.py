@@ -7,8 +7,8 @@ deterministic automaton that reads most words no further than a few letters. Ter
 of ordinary words, as the clean texts of the sample show, are matched exactly. Stems of which one word says little
 but several mark a text as toxic stand in the trie as well and match every word they begin.
 
-Each match is weighed by a window of words around it: quotation marks on both sides and words of reporting
-speak for a quotation, further matches and direct address for abuse. A logistic model on the sums of the
+Each match is weighed by a window of words around it: standing between an opening and a closing mark of one kind and
+words of reporting speak for a quotation, further matches and direct address for abuse. A logistic model on the sums of the
 windows' weights, fitted on the same sample, gives the score of the whole text.
 """
 
@@ -28,14 +28,15 @@ from datamill.llm import near_dup
 from datamill.llm.common import packed, text_of, training_sample, unpacked, written
 
 SAMPLE = 5000  # labelled texts of each class that are learned from
-TERMS = 200  # largest lexicon
 STEMS = range(3, 9)  # lengths of stems
 SUPPORT = 0.02  # share of the toxic texts that must hold a term
 LIFT = 20  # times that a term's share among toxic texts exceeds that among the others
 WINDOW = 8  # words on each side of a match
-MEMORY = 300_000  # words that a worker remembers
-TOKEN = re.compile(r"\w+|[\"“”„«»‘’]")
-QUOTES = frozenset("\"“”„«»‘’")
+MEMORY = 300_000  # words, and steps of the automaton, that a worker remembers
+#: A mark between two letters is an apostrophe and part of no quotation.
+TOKEN = re.compile(r"\w+|[\"“”„«»]|(?<!\w)[‘’‚']|[‘’'](?!\w)")
+#: Opening marks with the marks that close them.
+CLOSING = {'"': '"', "'": "'", "“": "”", "„": "“”", "«": "»", "»": "«", "‘": "’", "‚": "‘’", "”": "”", "’": "’"}
 #: Words of reporting and of direct address in the four languages of the tables.
 REPORTING = frozenset("said says wrote writes called calls quote quoted quotes term word slur reported reads "
                       "sagte sagt schrieb nannte zitat wort dit disait écrit appelé citation mot "
@@ -87,11 +88,7 @@ class Matcher(dict):
             self.trie.add(t, self.allowed[t])
         for t in self.stems.difference(terms):
             self.trie.add(t, 0)
-        self.steps: dict[tuple[int, str], int] = {}
-        self.states: list[frozenset] = []
-        self.number: dict[frozenset, int] = {}
-        self.begun: dict[int, str] = {}
-        self.first = self._state({(0, 0, "")})
+        self._begin()
 
     def _state(self, items: set) -> int:
         """Close under letters left out of the word, and number the set."""
@@ -112,6 +109,14 @@ class Matcher(dict):
                 self.begun[self.number[key]] = whole[0]
         return self.number[key]
 
+    def _begin(self) -> None:
+        """Forget all steps and states."""
+        self.steps: dict[tuple[int, str], int] = {}
+        self.states: list[frozenset] = []
+        self.number: dict[frozenset, int] = {}
+        self.begun: dict[int, str] = {}
+        self.first = self._state({(0, 0, "")})
+
     def _step(self, state: int, c: str) -> int:
         children, most, out = self.trie.children, self.trie.most, set()
         for node, e, owed in self.states[state]:
@@ -132,6 +137,8 @@ class Matcher(dict):
         return found
 
     def __missing__(self, word: str) -> tuple[str, int] | None:
+        if len(self.steps) >= MEMORY:
+            self._begin()
         state, steps, found = self.first, self.steps, None
         for c in word:
             state = steps[state, c] if (state, c) in steps else self._step(state, c)
@@ -165,6 +172,20 @@ class Model:
         return Matcher(list(self.terms), set(self.strict), set(self.ordinary), list(self.stems))
 
 
+def quoted(tokens: list[str], i: int) -> bool:
+    """Whether token ``i`` stands between an opening and a closing mark of one kind, each within WINDOW tokens.
+
+    Of the marks before it, those that close each other go first; the last one left open counts.
+    """
+    still: list[str] = []
+    for t in tokens[max(0, i - WINDOW):i]:
+        if still and t in CLOSING.get(still[-1], ""):
+            still.pop()
+        elif t in CLOSING:
+            still.append(t)
+    return bool(still) and any(t in CLOSING[still[-1]] for t in tokens[i + 1:i + 1 + WINDOW])
+
+
 def matches(text: str, matcher: Matcher) -> list[dict]:
     """The matches of a text with their window's evidence: term, edits, word, quoted (0 to 1), others, addressed."""
     tokens = TOKEN.findall(text.lower())
@@ -172,7 +193,7 @@ def matches(text: str, matcher: Matcher) -> list[dict]:
     out = []
     for i in at:
         before, after = tokens[max(0, i - WINDOW):i], tokens[i + 1:i + 1 + WINDOW]
-        marks = bool(QUOTES.intersection(before)) and bool(QUOTES.intersection(after))
+        marks = quoted(tokens, i)
         reported = not REPORTING.isdisjoint(before) or not REPORTING.isdisjoint(after)
         near = before + after
         term, e = matcher[tokens[i]]
@@ -199,7 +220,8 @@ def evidence(text: str, matcher: Matcher) -> np.ndarray:
     x[-2] = 0.5 * sum(m["others"] > 0 for m in found if m["edits"] >= 0)
     # One word of a stem says nothing, and long texts hold some by chance.
     x[-1] = max(0.0, begun / (1 + len(text.split()) / 1000) - 1) if begun else 0.0
-    return np.minimum(x, 3.0)
+    # Every match counts, the later ones of a long text less and less.
+    return 3.0 * -np.expm1(-x / 3.0)
 
 
 def fit(x: np.ndarray, y: np.ndarray, spread: float = 2.0, steps: int = 50) -> np.ndarray:
@@ -242,6 +264,8 @@ def without_near_copies(sample: DataFrame) -> DataFrame:
 def choose_terms(sample: DataFrame) -> tuple[list[str], list[str]]:
     """Terms and stems. At least SUPPORT of the toxic texts hold them, LIFT times their share among the others.
 
+    All that do are kept. Their shares add up to no more than the distinct words of a toxic text on average, so there are at
+    most that number over SUPPORT, whatever the sample; the driver gets no more (of stems, as many for each length).
     A stem must begin two words of a text to count, and beginning one must not be enough; of stems that begin each other
     the best stays. Words of such a stem are no terms.
     """
@@ -267,17 +291,17 @@ def choose_terms(sample: DataFrame) -> tuple[list[str], list[str]]:
     begun = held.select("doc", "label", "times", begins.alias("stem")).where("stem IS NOT NULL")
     begun = begun.groupBy("doc", "label", "stem").agg(F.count("*").alias("times"))
     stems: list[str] = []
-    for r in counted(begun, "stem", twice=True).limit(TERMS).collect():
+    for r in counted(begun, "stem", twice=True).collect():
         if not any(r["stem"].startswith(s) or s.startswith(r["stem"]) for s in stems):
             stems.append(r["stem"])
-    terms = [r["word"] for r in counted(held, "word").limit(2 * TERMS).collect()]
-    return [t for t in terms if not t.startswith(tuple(stems))][:TERMS], stems
+    terms = [r["word"] for r in counted(held, "word").collect()]
+    return [t for t in terms if not t.startswith(tuple(stems))], stems
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE) -> Model:
     """A model of at most ``rows`` labelled texts of each class; held-out ids are never read.
 
-    The driver gets the candidate words and five numbers a text. Without labels the lexicon is empty.
+    The driver gets the candidate words, the ordinary words near them and the features of each sampled text. Without labels the lexicon is empty.
     """
     sample = written(training_sample(docs, labels, label, rows), "sample")
     terms, stems = choose_terms(sample)
@@ -295,7 +319,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     strict = {r["term"] for r in by_term.where("(n - t) * 5 > n").collect()}
     # Words near the other terms that stand in clean texts at least as often as in toxic ones are words of their own.
     plainly = seen.where((F.col("t") * 2 <= F.col("n")) & ~F.col("term").isin(list(strict)))
-    ordinary = [r["word"] for r in plainly.orderBy(F.desc("n"), "word").limit(10 * TERMS).select("word").distinct().collect()]
+    ordinary = [r["word"] for r in plainly.select("word").distinct().collect()]
     matcher = Matcher(terms, strict, set(ordinary), stems)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

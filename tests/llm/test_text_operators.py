@@ -234,6 +234,29 @@ def test_quotation_is_milder_than_abuse():
     assert p("you are an idiot") > 0.5 and p("you are an idoit and a moron") > 0.5
     assert p('he said the word "idiot" was used in the report') < 0.5
     assert p("nothing of the kind") < 0.1 and p("") == p(None) < 0.1
+    # An apostrophe is no quotation mark.
+    plain = p("I do not like you idiot and you can not change")
+    assert plain > 0.5 and p("I don’t like you idiot and you can’t change") == p("I don't like you idiot and you can't change") == plain
+
+
+@pytest.mark.parametrize("text,expected", [
+    ('"x"', True), ("“a x b”", True), ("„x“", True), ("«x»", True), ("»x«", True), ("‘x’", True), ("'x'", True), ("’x’", True), ("the dogs’ x", False),
+    ("don’t x can’t", False), ("x", False), ('"x', False), ('x"', False), ('"a" x "b"', False), ("“a” x “b”", False), ("“x»", False), ("” x “", False),
+    ('"a" b "x"', True), ("“x " + "w " * 8 + "”", False), ("“ " + "w " * 8 + "x”", False), ("“don’t x”", True), ("l’x d’y", False),
+])
+def test_quotation_marks_are_paired(text, expected):
+    tokens = toxicity.TOKEN.findall(text)
+    assert toxicity.quoted(tokens, tokens.index("x")) == expected
+
+
+def test_automaton_forgets(monkeypatch):
+    terms = ["scoundrel", "idiot"]
+    words = ["idoit", "scoundrl", "idiots", "scuondrel", "plain", "idiot", "sconudrels"]
+    whole = toxicity.Matcher(terms)
+    expected = [whole[w] for w in words]
+    monkeypatch.setattr(toxicity, "MEMORY", 5)
+    short = toxicity.Matcher(terms)
+    assert [short[w] for w in words] == expected and len(short.steps) < len(whole.steps)
 
 
 def test_toxicity_learns(spark):
