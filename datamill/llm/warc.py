@@ -6,7 +6,9 @@ files that nobody reads.
 
 The reader checks every record: member checksum, version line, header, length, payload digest. After a failed
 check it searches for the next place where a valid record starts, a member or a bare version line, goes on from
-there, and reports the bytes between as a gap.
+there, and reports the bytes between as a gap. A block whose header and length are sound is passed over as a whole, so
+what looks like a record inside it is none. The same is done inside a member of several records, also one that is
+cut or damaged, as far as it can be unpacked.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow.fs
@@ -31,7 +33,8 @@ DATE = "2024-01-01T00:00:00Z"  # pages carry no time of their own
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MEMBER = b"\x1f\x8b\x08"
 STARTS = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
-LIMIT = 1 << 30  # a record that claims more bytes than this is damaged
+VERSIONS = re.compile(rb"WARC/1\.[01]\r\n")
+STEP = 1 << 16  # bytes that are unpacked at once
 RECORD = "kind string, archive string, begin long, end long, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload string, reason string"
 
 
@@ -68,8 +71,19 @@ def member(data: bytes) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def _plain_record(data: bytes, at: int) -> tuple[dict, int]:
-    """The record that starts at ``at`` and the place behind it; ValueError says what is wrong."""
+class DamagedBlock(ValueError):
+    """A failed check of something whose end is sure; the search goes on at ``behind``."""
+
+    def __init__(self, reason: str, behind: int):
+        super().__init__(reason)
+        self.behind = behind
+
+
+def _plain_record(data: bytes, at: int, vouched: bool = False) -> tuple[dict, int]:
+    """The record that starts at ``at`` and the place behind it; ValueError says what is wrong.
+
+    ``vouched`` asks for a digest of the block, which revisits don't have.
+    """
     line = data[at:at + 10]
     if line not in (b"WARC/1.0\r\n", b"WARC/1.1\r\n"):
         raise ValueError("no version line")
@@ -83,7 +97,7 @@ def _plain_record(data: bytes, at: int) -> tuple[dict, int]:
             raise ValueError("header line without colon")
         headers[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
     size = headers.get("content-length", "")
-    if not size.isdigit() or int(size) > LIMIT:
+    if not size.isdigit():
         raise ValueError("no usable length")
     start = end + 4
     block = data[start:start + int(size)]
@@ -93,13 +107,15 @@ def _plain_record(data: bytes, at: int) -> tuple[dict, int]:
     kind = headers.get("warc-type")
     declared = headers.get("warc-payload-digest", "")
     if declared and not declared.startswith("sha1:"):
-        raise ValueError("unknown digest")
+        raise DamagedBlock("unknown digest", behind + 4)
     try:
         digest = base64.b32decode(declared[5:]).hex() if declared else hashlib.sha1(block).hexdigest()
     except ValueError:
-        raise ValueError("unreadable digest") from None
+        raise DamagedBlock("unreadable digest", behind + 4) from None
     if kind != "revisit" and hashlib.sha1(block).hexdigest() != digest:
-        raise ValueError("digest and block disagree")
+        raise DamagedBlock("digest and block disagree", behind + 4)
+    if vouched and (kind == "revisit" or not declared):
+        raise DamagedBlock("no digest vouches for a record of a damaged member", behind + 4)
     length = headers.get("x-payload-length", "")
     return {
         "page_id": _page(headers.get("warc-record-id")), "url": headers.get("warc-target-uri"), "record_type": kind,
@@ -108,60 +124,90 @@ def _plain_record(data: bytes, at: int) -> tuple[dict, int]:
     }, behind + 4
 
 
-def _record_at(data: bytes, at: int) -> tuple[list[dict], int]:
-    """The records of the member or the bare record at ``at``, and the place behind; ValueError if invalid."""
+def _gap(begin: int, end: int, reason: str) -> dict:
+    return {"kind": "gap", "begin": begin, "end": end, "reason": reason}
+
+
+def _recovered(data: bytes, read: Callable[[int], tuple[list[dict], int]], starts: re.Pattern) -> Iterator[dict]:
+    """What ``read`` gives from place to place, and a gap from each failed check to the next of ``starts`` where it gives something."""
+    at, begin, reason = 0, 0, None
+    while at < len(data):
+        try:
+            found, end = read(at)
+        except ValueError as e:
+            if reason is None:
+                begin, reason = at, str(e)
+            place = starts.search(data, getattr(e, "behind", at + 1))
+            at = place.start() if place else len(data)
+            continue
+        if reason is not None:
+            yield _gap(begin, at, reason)
+            reason = None
+        yield from found
+        at = end
+    if reason is not None:
+        yield _gap(begin, len(data), reason)
+
+
+def _plain_rows(data: bytes, at: int, vouched: bool = False) -> tuple[list[dict], int]:
+    found, end = _plain_record(data, at, vouched)
+    return [{"kind": "record", "begin": at, "end": end, "reason": None, **found}], end
+
+
+def _unpacked(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """All that the member at ``at`` gives before its end or a damage, the place behind what was read, and the failed check."""
+    unpacker, out, taken = zlib.decompressobj(31), [], at
+    while not unpacker.eof and taken < len(data):
+        before = unpacker.copy()
+        try:
+            out.append(unpacker.decompress(data[taken:taken + STEP]))
+        except zlib.error as e:
+            # The call gave nothing: once more, byte by byte, up to the damage.
+            for i in range(taken, min(taken + STEP, len(data))):
+                try:
+                    out.append(before.decompress(data[i:i + 1]))
+                except zlib.error:
+                    break
+            return b"".join(out), i, f"damaged member: {e}"
+        taken += STEP
+    return b"".join(out), min(taken, len(data)) - len(unpacker.unused_data), None if unpacker.eof else "member without end"
+
+
+def _rows_at(data: bytes, at: int) -> tuple[list[dict], int]:
+    """Records and gaps of the member or the bare record at ``at``, and the place behind; ValueError if it has no valid record.
+
+    All whole records of a cut member count. Of a damaged one those count whose digest vouches for them, if another of
+    its records fails its checks; if none does, the damage is in a header, nobody knows which, and none counts.
+    """
     if not data.startswith(MEMBER, at):
-        found, end = _plain_record(data, at)
-        return [found], end
-    unpacker = zlib.decompressobj(31)
-    try:
-        # Only the bytes that a member needs are read; what follows stays in unused_data.
-        out = [unpacker.decompress(data[at:at + (1 << 16)])]
-        taken = at + (1 << 16)
-        while not unpacker.eof and taken < len(data):
-            out.append(unpacker.decompress(data[taken:taken + (1 << 16)]))
-            taken += 1 << 16
-            if sum(map(len, out)) > LIMIT:
-                raise ValueError("member too long")
-    except zlib.error as e:
-        raise ValueError(f"damaged member: {e}") from None
-    if not unpacker.eof:
-        raise ValueError("member without end")
-    content = b"".join(out)
-    records, inside = [], 0
-    while inside < len(content):
-        found, inside = _plain_record(content, inside)
-        records.append(found)
-    return records, min(taken, len(data)) - len(unpacker.unused_data)
+        return _plain_rows(data, at)
+    content, end, fault = _unpacked(data, at)
+    damaged = fault is not None and fault.startswith("damaged")
+    found = list(_recovered(content, lambda i: _plain_rows(content, i), VERSIONS))
+    if damaged:
+        failed = any(r["kind"] == "gap" for r in found)
+        found = list(_recovered(content, lambda i: _plain_rows(content, i, True), VERSIONS)) if failed else []
+    gaps = [r for r in found if r["kind"] == "gap"]
+    if fault is None and len(found) == len(gaps) > 0:
+        raise DamagedBlock(gaps[0]["reason"], end)
+    if fault and len(found) == len(gaps):
+        raise ValueError(fault)
+    if fault:
+        # Where a damaged member ends is not sure.
+        place = STARTS.search(data, at + 1)
+        end = place.start() if place else len(data)
+    rows = [r | {"begin": at, "end": end} for r in found if r["kind"] == "record"]
+    rows += [_gap(at, end, f"{r['reason']} (bytes {r['begin']} to {r['end']} of the member)") for r in gaps]
+    return rows + ([_gap(at, end, fault)] if fault else []), end
 
 
 def salvage(data: bytes) -> Iterator[dict]:
     """Valid records and the gaps between them, in order, with the bytes [begin, end) each takes up.
 
     A gap starts where a check failed and ends where the next valid record starts; its reason is the failed check.
-    An empty archive gives nothing.
+    Records and gaps of a member of several records all have the place of the member. An empty archive gives nothing.
     """
-    at = 0
-    while at < len(data):
-        try:
-            records, end = _record_at(data, at)
-            for r in records:
-                yield {"kind": "record", "begin": at, "end": end, "reason": None, **r}
-            at = end
-            continue
-        except ValueError as e:
-            reason = str(e)
-        begin, records = at, None
-        for place in STARTS.finditer(data, at + 1):
-            try:
-                _record_at(data, place.start())
-            except ValueError:
-                continue
-            at = place.start()
-            break
-        else:
-            at = len(data)
-        yield {"kind": "gap", "begin": begin, "end": at, "reason": reason}
+    return _recovered(data, lambda at: _rows_at(data, at), STARTS)
 
 
 def _filesystem(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
