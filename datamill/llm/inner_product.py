@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from datamill.llm.common import written
-from datamill.llm.vectors import BLOCK, best, in_chunks, in_parts, matrix, part_of, search, top, usable
+from datamill.llm.vectors import BLOCK, best, in_chunks, in_parts, matrix, one_of_each, part_of, search, top, usable
 
 K, SCALE = 5, 256
 SAMPLE, BUCKETS = 20_000, 1024  # rows that the buckets' borders are chosen from, most buckets
@@ -101,7 +101,7 @@ def largest_products(vectors: DataFrame, every: int = 50, k: int = K, key: str =
     table = F.array(*[F.lit(b) for b in borders]) if borders else F.array().cast("array<double>")
     placed = rows.withColumn("cell", F.size(F.filter(table, lambda b: F.col("length") <= b)))
     placed = written(in_chunks(placed, "cell"), "norms")
-    asked = placed.where(F.col("id") % every == 0).dropDuplicates(["id"]).select("id", "v", "length")
+    asked = one_of_each(placed.where(F.col("id") % every == 0)).select("id", "v", "length")
     blocks, parts = in_parts(placed, asked.count())
     asked = asked.withColumn("part", part_of(F.col("id"), parts))
     # A row per chunk with its greatest length.

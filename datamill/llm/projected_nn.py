@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from datamill.llm.common import written
-from datamill.llm.vectors import BLOCK, best, in_chunks, in_parts, matrix, part_of, search, top, usable
+from datamill.llm.vectors import BLOCK, best, in_chunks, in_parts, matrix, one_of_each, part_of, search, top, usable
 
 K, DIRECTIONS, CERTAINTY, SEED = 10, 8, 0.98, 11
 SAMPLE, CELLS = 20_000, 4096  # rows that the tree's planes are chosen from, most cells
@@ -158,7 +158,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = K, key: str = "vec_id
 
     placed = rows.mapInPandas(place, "id long, v array<double>, p array<double>, cell int")
     placed = written(in_chunks(placed, "cell"), "cells")
-    asked = placed.where(F.col("id") % every == 0).dropDuplicates(["id"])
+    asked = one_of_each(placed.where(F.col("id") % every == 0))
     blocks, parts = in_parts(placed, asked.count())
     asked = asked.withColumn("part", part_of(F.col("id"), parts))
     chunks = placed.select("cell", "chunk").distinct()

@@ -17,7 +17,7 @@ def usable(vectors: DataFrame, key: str, vector: str, zero: bool) -> DataFrame:
     """(id, v) of the vectors that take part: not null, all components finite, and not zero unless ``zero``.
 
     Vectors of another length than the most frequent one (of equally frequent ones the shortest) take no part.
-    Null ids take no part; repeated rows are candidates one by one.
+    Null ids take no part; repeated rows are candidates one by one, and of a repeated id one vector asks, see :func:`one_of_each`.
     """
     v = F.transform(vectors[vector], lambda x: x.cast("double"))
     rows = vectors.select(vectors[key].cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0))
@@ -29,6 +29,12 @@ def usable(vectors: DataFrame, key: str, vector: str, zero: bool) -> DataFrame:
     return rows.where(F.size("v") == (common["n"] if common else 0))
 
 
+def one_of_each(rows: DataFrame) -> DataFrame:
+    """A row for each id: of a repeated id the one with the smallest vector, compared component by component."""
+    rest = [c for c in rows.columns if c not in ("id", "v")]
+    return rows.groupBy("id").agg(F.min(F.struct("v", *rest)).alias("first")).select("id", "first.*")
+
+
 def matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype=np.float64)
 

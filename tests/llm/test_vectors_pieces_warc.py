@@ -87,6 +87,24 @@ def test_few_vectors(spark):
     assert projected_nn.nearest(empty).count() == 0 and inner_product.largest_products(empty).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_repeated_ids_and_clashing_columns(spark, parts):
+    rng = np.random.default_rng(3)
+    v = np.round(rng.normal(size=(400, 8)), 3)
+    ids = [i % 300 for i in range(400)]
+    data = [(i, x.tolist(), *[0] * 8) for i, x in zip(ids, v)]
+    table = spark.createDataFrame(data, "vec_id long, embedding array<double>, id int, v int, p int, cell int, chunk int, part int, bound int, length int").repartition(parts)
+    for asked, found, score in ((0, projected_nn.nearest(table), lambda a, b: float(np.sqrt(((a - b) ** 2).sum()))),
+                                (50, inner_product.largest_products(table), lambda a, b: int((np.floor(256 * a) * np.floor(256 * b)).sum()))):
+        # Of a repeated id the smallest vector asks.
+        first = np.array(min(x.tolist() for i, x in zip(ids, v) if i == asked))
+        assert sum(i == asked for i in ids) == 2
+        scores = sorted(((score(first, x), i) for i, x in zip(ids, v) if i != asked), key=lambda r: (r[0] if score(first, first) == 0.0 else -r[0], r[1]))
+        got = [(r["vec_id"], r["score"]) for r in found.where(f"query_id = {asked}").orderBy("rank").collect()]
+        assert [i for i, _ in got] == [i for _, i in scores[:len(got)]] and len(got) in (5, 10)
+        assert [x for _, x in got] == pytest.approx([x for x, _ in scores[:len(got)]])
+
+
 # --- pieces --------------------------------------------------------------------------------------
 
 
@@ -176,6 +194,67 @@ def test_salvage(packed):
         assert gzip.decompress(made[0]).startswith(b"WARC/1.1\r\n")
 
 
+def kinds(data):
+    found = list(warc.salvage(data))
+    return [r["page_id"] for r in found if r["kind"] == "record"], [(r["begin"], r["end"], r["reason"]) for r in found if r["kind"] == "gap"]
+
+
+def test_salvage_inside_a_member():
+    made = records(5, False)
+    wrong = [*made[:1], made[1].replace(b"page 1 ", b"page X ", 1), *made[2:]]
+    at = (len(made[0]), len(made[0]) + len(made[1]))
+    # One record of a sound member is wrong.
+    data = warc.member(b"".join(wrong)) + warc.member(records(9, False)[8])
+    pages, gaps = kinds(data)
+    assert pages == [0, 2, 3, 4, 8] and len(gaps) == 1 and f"bytes {at[0]} to {at[1]} of the member" in gaps[0][2]
+    # None is right: the member is passed over as a whole.
+    assert kinds(warc.member(wrong[1]) + warc.member(made[2])) == ([2], [(0, len(warc.member(wrong[1])), "digest and block disagree")])
+    # The member is cut: the records before the cut stay.
+    rng = random.Random(2)
+    bodies = [rng.randbytes(50_000) for _ in range(5)]
+    big = warc.member(b"".join(warc.record_bytes(i, "u", b, hashlib.sha1(b).hexdigest(), None, False) for i, b in enumerate(bodies)))
+    pages, gaps = kinds(big[: len(big) * 3 // 4])
+    assert pages == [0, 1, 2] and gaps[-1][2] == "member without end"
+    # A byte of it is wrong: what its digest vouches for stays, and so does the next member.
+    damaged = bytearray(big)
+    damaged[len(big) * 3 // 10] ^= 0xFF
+    pages, gaps = kinds(bytes(damaged) + made[0] + warc.member(made[3]))
+    assert pages[0] == 0 and 1 not in pages and pages[-2:] == [0, 3] and any("damaged member" in g[2] for g in gaps)
+
+
+def test_checksum_without_a_wrong_record():
+    made = records(3, False)
+    data = bytearray(warc.member(b"".join(made)))
+    data[-6] ^= 0xFF
+    pages, gaps = kinds(bytes(data) + warc.member(made[0]))
+    assert pages == [0] and [(g[0], g[1]) for g in gaps] == [(0, len(data))]
+    # Of a damaged member with a wrong record, records without a digest of their own are not trusted.
+    revisit = warc.record_bytes(7, "u", b"x", "00" * 20, 1, True)
+    data = bytearray(warc.member(made[0] + revisit + made[1].replace(b"page 1 ", b"page X ", 1)))
+    data[-6] ^= 0xFF
+    pages, gaps = kinds(bytes(data))
+    assert pages == [0] and any("no digest" in g[2] for g in gaps)
+    assert kinds(warc.member(made[0] + revisit)) == ([0, 7], []) and kinds(warc.member(b"")) == ([], [])
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_no_record_out_of_a_block(packed):
+    inner = records(100, False)[99]
+    body = b"head " + inner + b" tail"
+    outer = warc.record_bytes(1, "u", body, "00" * 20, None, False)
+    last = records(3, False)[2]
+    data = warc.member(outer) + warc.member(last) if packed else outer + last
+    pages, gaps = kinds(data)
+    assert pages == [2] and [g[2] for g in gaps] == ["digest and block disagree"]
+
+
+def test_long_payloads_and_clashing_columns(spark):
+    data = [(1, "u", "x" * 3_000_000, "d", 1), (2, "u", "x" * 3_000_000, None, 2), (2, None, None, "a", None), (None, "u", "short", "k", 3)]
+    table = spark.createDataFrame(data, "page_id long, url string, html string, digest string, revisit int").selectExpr("*", "html AS kind", "url AS archive")
+    got = warc.archive_and_read(table, archive_bytes=1000).where("kind = 'record'").select("page_id", "payload_bytes", "record_type", "refers_to").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(1, 3_000_000, "revisit", 2), (2, 3_000_000, "response", None), (2, 0, "response", None), (None, 5, "response", None)], key=repr)
+
+
 # --- queries -------------------------------------------------------------------------------------
 
 
