@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from datamill.llm.common import written
-from datamill.llm.vectors import BLOCK, best, in_chunks, in_parts, matrix, one_of_each, part_of, search, top, usable
+from datamill.llm.vectors import BLOCK, best, in_chunks, matrix, one_of_each, search, top, usable
 
 K, DIRECTIONS, CERTAINTY, SEED = 10, 8, 0.98, 11
 SAMPLE, CELLS = 20_000, 4096  # rows that the tree's planes are chosen from, most cells
@@ -158,14 +158,13 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = K, key: str = "vec_id
 
     placed = rows.mapInPandas(place, "id long, v array<double>, p array<double>, cell int")
     placed = written(in_chunks(placed, "cell"), "cells")
-    asked = one_of_each(placed.where(F.col("id") % every == 0))
-    blocks, parts = in_parts(placed, asked.count())
-    asked = asked.withColumn("part", part_of(F.col("id"), parts))
-    chunks = placed.select("cell", "chunk").distinct()
-    home = asked.select("id", "v", "p", "cell", "part", F.lit(float("inf")).alias("bound"))
-    home = home.join(chunks.groupBy(F.col("cell").alias("c")).agg(F.min("chunk").alias("chunk")), F.col("cell") == F.col("c")).drop("c")
+    asked = written(one_of_each(placed.where(F.col("id") % every == 0)).select("id", "v", "p", "cell"), "asked")
+    queries = asked.drop("cell")
+    chunks = written(placed.select("cell", "chunk").distinct(), "chunks")
+    homes = chunks.groupBy(F.col("cell").alias("c")).agg(F.min("chunk").alias("chunk"))
+    home = asked.join(homes, F.col("cell") == F.col("c")).select("id", "p", "cell", "chunk", F.lit(float("inf")).alias("bound"))
     kernel = _kernel(k, certainty, m)
-    first_found = written(search(blocks, home, kernel, "double"), "home")
+    first_found = written(search(placed, queries, home, kernel, "double"), "home")
     bounds = first_found.groupBy(F.col("query_id").alias("q")).agg(F.max("score").alias("far"), F.count("*").alias("n"))
     bounds = bounds.select("q", F.when(F.col("n") >= k, F.col("far")).otherwise(float("inf")).alias("bound"))
     todo = home.drop("bound").join(bounds, home["id"] == bounds["q"], "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf")))).drop("q")
@@ -174,9 +173,9 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = K, key: str = "vec_id
     def visit(parts_in: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts_in:
             cells = near_cells(tree, matrix(part["p"]).reshape(-1, m), quantile * part["bound"].to_numpy() ** 2)
-            yield part.rename(columns={"cell": "home", "chunk": "home_chunk"}).assign(cell=[c.astype(np.int32) for c in cells])
+            yield pd.DataFrame({"id": part["id"], "home": part["cell"], "home_chunk": part["chunk"], "bound": part["bound"], "cell": [c.astype(np.int32) for c in cells]})
 
-    visits = todo.mapInPandas(visit, "id long, v array<double>, p array<double>, home int, part int, home_chunk int, bound double, cell array<int>")
+    visits = todo.mapInPandas(visit, "id long, home int, home_chunk int, bound double, cell array<int>")
     visits = visits.withColumn("cell", F.explode("cell")).join(chunks, "cell").where((F.col("cell") != F.col("home")) | (F.col("chunk") != F.col("home_chunk")))
-    rest = search(blocks, visits.drop("home", "home_chunk"), kernel, "double")
+    rest = search(placed, queries, written(visits.select("id", "cell", "chunk", "bound"), "visits"), kernel, "double")
     return best(first_found.unionByName(rest), k, largest=False)

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 BLOCK = 2048  # rows of a block, about
-QUERIES_AT_ONCE = 2048  # queries that one task holds against a block, about
+QUERIES_AT_ONCE = 8192  # queries that one task holds against a block, about
 
 
 def usable(vectors: DataFrame, key: str, vector: str, zero: bool) -> DataFrame:
@@ -46,30 +45,27 @@ def in_chunks(rows: DataFrame, cell: str, size: int = BLOCK) -> DataFrame:
     return rows.join(F.broadcast(counts), rows[cell] == F.col("_cell")).withColumn("chunk", F.pmod(F.xxhash64("id", "v"), F.col("_chunks")).cast("int")).drop("_cell", "_chunks")
 
 
-def search(blocks: DataFrame, visits: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame], Iterator[tuple]], score: str) -> DataFrame:
-    """(query_id, vec_id, score) found by ``kernel`` in every visit (cell, chunk, part) to a block (cell, chunk, part).
+def search(blocks: DataFrame, asked: DataFrame, visits: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame], Iterator[tuple]], score: str) -> DataFrame:
+    """(query_id, vec_id, score) found by ``kernel`` in every visit (id, cell, chunk, bound) of a query to a block.
 
-    ``part`` splits the queries of a block; a task holds one block and one part of its queries.
+    ``asked`` has a row for each query. A task holds one block and at most about ``QUERIES_AT_ONCE`` of its visitors: a
+    block travels once for so many visits, and not at all if none comes.
     """
 
-    def run(block: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        found = list(kernel(block, asked)) if len(block) and len(asked) else []
+    def run(block: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+        found = list(kernel(block, part)) if len(block) and len(part) else []
         return pd.concat([pd.DataFrame({"query_id": np.full(len(i), q), "vec_id": i, "score": s}) for q, i, s in found]) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
 
+    # All sides come from one table: new names' identities for each.
+    visits = visits.select("id", "cell", "chunk", "bound").toDF("id", "cell", "chunk", "bound")
+    parts = visits.groupBy("cell", "chunk").agg(F.ceil(F.count("*") / F.lit(QUERIES_AT_ONCE)).alias("parts"))
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    # No broadcasts: queries and blocks grow with the table.
+    visitors = visits.join(parts.hint("merge"), ["cell", "chunk"]).withColumn("part", part).drop("parts").join(asked.toDF(*asked.columns).hint("merge"), "id")
+    visited = blocks.toDF(*blocks.columns).join(parts.toDF("cell", "chunk", "parts").hint("merge"), ["cell", "chunk"])
+    visited = visited.withColumn("part", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int")))).drop("parts")
     names = ["cell", "chunk", "part"]
-    # Both sides come from one table: new names' identities for the second.
-    visits = visits.toDF(*visits.columns)
-    return blocks.groupBy(*names).cogroup(visits.groupBy(*names)).applyInPandas(run, f"query_id long, vec_id long, score {score}")
-
-
-def in_parts(blocks: DataFrame, queries: int) -> tuple[DataFrame, int]:
-    """Every block once for each part of the queries."""
-    parts = max(1, math.ceil(queries / QUERIES_AT_ONCE))
-    return blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), parts
-
-
-def part_of(query_id: Column, parts: int) -> Column:
-    return F.pmod(F.xxhash64(query_id), F.lit(parts)).cast("int")
+    return visited.groupBy(*names).cogroup(visitors.groupBy(*names)).applyInPandas(run, f"query_id long, vec_id long, score {score}")
 
 
 def best(found: DataFrame, k: int, largest: bool) -> DataFrame:

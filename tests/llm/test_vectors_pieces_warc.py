@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 import sentencepiece
 
-from datamill.llm import inner_product, pieces, projected_nn, toxicity, warc
+from datamill.llm import inner_product, pieces, projected_nn, toxicity, vectors as vectors_module, warc
 from datamill.llm.queries import QUERIES, SQL, tokenizer_path
 
 FOLDER = "/root/testdata/sf0.001"
@@ -76,10 +76,42 @@ def test_coordinate_pruning_loses_nothing():
         lengths = np.sqrt((v**2).sum(1))
         q = rng.normal(size=6)
         norm, bound = np.sqrt((q**2).sum()), rng.uniform(0, 8)
-        kept = set(inner_product.candidates(v / lengths[:, None], lengths, q, norm, bound))
+        kept = set(*inner_product.Block(v, lengths).candidates(q[None], np.array([norm]), np.array([bound])))
         assert set(np.nonzero(v @ q >= bound)[0]) <= kept
 
 
+def test_blocks_of_close_directions_are_left_out(spark):
+    """Tight clusters: a query visits the blocks of its own cluster, and still nothing is lost."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(16, 32))
+    v = np.concatenate([c + 0.05 * rng.normal(size=(600, 32)) for c in centres])
+    whole = np.floor(256 * v)
+    lengths = np.sqrt((whole**2).sum(1))
+    balls = pd.concat([inner_product.ball(pd.DataFrame({"v": list(whole[i:i + 600]), "cell": i, "chunk": 0, "length": lengths[i:i + 600]})) for i in range(0, 9600, 600)])
+    asked = pd.DataFrame({"id": range(0, 9600, 50), "v": list(whole[::50]), "length": lengths[::50]})
+    first = inner_product._first(balls, asked)
+    assert first["id"].tolist() == asked["id"].tolist()
+    todo = asked.assign(cell=first["cell"].to_numpy(), chunk=0, bound=[np.sort(whole @ q)[-6] for q in whole[::50]])
+    assert len(inner_product._others(balls, todo)) < 0.2 * 16 * len(asked)
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in inner_product.largest_products(table).collect()}
+    for q in range(0, 9600, 50):
+        scores = (whole @ whole[q]).astype(int)
+        scores[q] = -2**62
+        order = np.lexsort((np.arange(9600), -scores))[:5]
+        assert [got[q, rank] for rank in range(1, 6)] == [(i, scores[i]) for i in order]
+
+
+def test_blocks_without_a_visit_stay(spark):
+    """A block travels once for each part of its visitors; one that nobody visits does not travel."""
+    blocks = spark.createDataFrame([(i, i % 4, 0) for i in range(40)], "id long, cell long, chunk int")
+    asked = spark.createDataFrame([(7,), (8,)], "id long")
+    visits = spark.createDataFrame([(7, 1, 0, 0.0), (8, 1, 0, 0.0), (8, 3, 0, 0.0)], "id long, cell long, chunk int, bound double")
+    got = vectors_module.search(blocks, asked, visits, lambda block, part: [(q, block["id"].to_numpy(), block["id"].to_numpy() * 1.0) for q in part["id"]], "double")
+    pairs = sorted((r["query_id"], r["vec_id"]) for r in got.collect())
+    assert pairs == [(7, i) for i in range(1, 40, 4)] + sorted((8, i) for i in range(40) if i % 4 in (1, 3))
+
+
 def test_few_vectors(spark):
     rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (100, [0.0, 1e300])], "vec_id long, embedding array<double>")
     assert projected_nn.nearest(rows).count() == 4 and inner_product.largest_products(rows).count() == 4
