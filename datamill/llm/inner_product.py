@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from datamill.llm.common import written
 from datamill.llm.projected_nn import Tree
-from datamill.llm.vectors import best, in_chunks, matrix, one_of_each, search, top, usable
+from datamill.llm.vectors import best, in_chunks, matrix, one_of_each, sample_of, search, top, usable
 
 K, SCALE = 5, 256
 RATIO = 0.9  # shortest to longest length of a bucket
@@ -155,8 +155,10 @@ def placed_rows(rows: DataFrame) -> DataFrame:
     bucket = "CASE WHEN length = 0 THEN 2000000 WHEN length = double('infinity') THEN -2000000 ELSE int(-floor(ln(length) / -ln(%r))) END" % RATIO
     rows = rows.withColumn("bucket", F.expr(bucket))
     # As many rows as lengths of doubles differ by RATIO: some thousands at most.
-    depths = {r["bucket"]: max(0, math.ceil(math.log2(r["count"] / BLOCK))) for r in rows.groupBy("bucket").count().collect()}
-    sample = rows.where((F.col("length") > 0) & (F.col("length") < float("inf"))).select("id", "v", "length").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
+    counts = {r["bucket"]: r["count"] for r in rows.groupBy("bucket").count().collect()}
+    depths = {b: max(0, math.ceil(math.log2(n / BLOCK))) for b, n in counts.items()}
+    sided = rows.where((F.col("length") > 0) & (F.col("length") < float("inf")))
+    sample = sample_of(sided.select("id", "v", "length"), sum(counts.values()), SAMPLE)
     unit = matrix(sample["v"]) / sample["length"].to_numpy()[:, None] if len(sample) else np.zeros((0, 1))
     depth = min(max(depths.values(), default=0), int(math.log2(max(1, len(unit) // LEAF))))
     tree = Tree(unit, depth)

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from datamill.llm.common import written
-from datamill.llm.vectors import BLOCK, best, in_chunks, matrix, one_of_each, search, top, usable
+from datamill.llm.vectors import BLOCK, best, in_chunks, matrix, one_of_each, sample_of, search, top, usable
 
 K, DIRECTIONS, CERTAINTY, SEED = 10, 8, 0.98, 11
 SAMPLE, CELLS = 20_000, 4096  # rows that the tree's planes are chosen from, most cells
@@ -149,7 +149,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = K, key: str = "vec_id
     rows = written(rows.mapInPandas(project, "id long, v array<double>, p array<double>"), "projected")
     total = rows.count()
     depth = max(0, min(int(math.log2(CELLS)), math.ceil(math.log2(max(1, total / BLOCK)))))
-    sample = matrix(rows.select("id", "p").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()["p"]).reshape(-1, m)
+    sample = matrix(sample_of(rows.select("id", "p"), total, SAMPLE)["p"]).reshape(-1, m)
     tree = Tree(sample, depth)
 
     def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

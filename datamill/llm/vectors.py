@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,6 +39,17 @@ def matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype=np.float64)
 
 
+def sample_of(rows: DataFrame, total: int, size: int) -> pd.DataFrame:
+    """About ``size`` different rows, at most so many, of a table of ``total`` rows, chosen by hash.
+
+    The hash is cut before anything is ordered, so that what tasks send does not grow with their number.
+    """
+    share = min(1.0, 1.25 * size / max(1, total))
+    key = F.xxhash64(*rows.columns)
+    cut = F.pmod(key, F.lit(1 << 32)) < F.lit(math.ceil(share * (1 << 32)))
+    return rows.where(cut).distinct().orderBy(key, *rows.columns).limit(size).toPandas()
+
+
 def in_chunks(rows: DataFrame, cell: str, size: int = BLOCK) -> DataFrame:
     """Add the int ``chunk`` so that a (cell, chunk) has about ``size`` rows, also where a cell is crowded."""
     counts = rows.groupBy(F.col(cell).alias("_cell")).agg(F.ceil(F.count("*") / F.lit(size)).alias("_chunks"))

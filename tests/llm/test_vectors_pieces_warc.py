@@ -102,6 +102,13 @@ def test_blocks_of_close_directions_are_left_out(spark):
         assert [got[q, rank] for rank in range(1, 6)] == [(i, scores[i]) for i in order]
 
 
+def test_samples_are_bounded_and_repeat(spark):
+    rows = spark.range(20_000).selectExpr("id", "array(double(id)) AS v").unionByName(spark.range(9_000).selectExpr("1L AS id", "array(1.0D) AS v"))
+    first, again = (vectors_module.sample_of(rows.repartition(n), 29_000, 1000)["id"].tolist() for n in (3, 11))
+    assert first == again and 700 <= len(first) <= 1000 and len(set(first)) == len(first)
+    assert len(vectors_module.sample_of(rows.limit(0), 0, 1000)) == 0
+
+
 def test_blocks_without_a_visit_stay(spark):
     """A block travels once for each part of its visitors; one that nobody visits does not travel."""
     blocks = spark.createDataFrame([(i, i % 4, 0) for i in range(40)], "id long, cell long, chunk int")
