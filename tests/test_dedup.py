@@ -178,6 +178,39 @@ def test_cells_of_near_copies(rows, monkeypatch):
     assert cells[2000] > 3 * cells[500]
 
 
+def test_spread_vectors_stay_in_one_cell(rows, monkeypatch):
+    """Vectors spread evenly: no split spares comparisons, so none is made, and pairs and rows are those of the plain search."""
+    vectors = np.random.default_rng(4).normal(size=(400, 24))
+    df = rows([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, embedding array<double>")
+    for name, value in (("LEAF", 10), ("BLOCK", 50), ("STREAM", 90), ("EARLY", 60), ("TABLE", 300)):
+        monkeypatch.setattr(S, name, value)
+    tree = S.Cells(S.distinct_units(df)[0], 0.35)
+    placed = tree.placed()
+    assert placed.count() == 400 and tree.whole
+    scores = similarities(vectors)
+    found = values(S.cosine_pairs(df, 0.35), "lo", "hi")
+    assert len(found) == len(set(found)) and set(found) == {(a, b) for a in range(400) for b in range(a + 1, 400) if scores[a, b] >= 0.35}
+    kept, by = [], {}
+    for i in range(400):
+        near = [j for j in kept if scores[i, j] >= 0.35]
+        if near:
+            by[i] = near
+        else:
+            kept.append(i)
+    assert ids(S.semantic_deduplicate(df, 0.35)) == kept
+    gone = dict(values(S.semantic_duplicates(df, 0.35), "ord", "by"))
+    assert set(gone) == set(by) and all(b in by[i] for i, b in gone.items())
+
+
+def test_order_of_equal_and_missing_ids(rows, monkeypatch):
+    """Vectors of one id are not compared with each other, and a row without an id drops none."""
+    df = rows([(1, [1.0, 0.0]), (1, [0.9, 0.1]), (2, [0.0, 1.0]), (None, [0.1, 0.9]), (3, [0.1, 1.0])], "id long, embedding array<double>")
+    for limit in (1, 100):
+        monkeypatch.setattr(S, "EARLY", limit)
+        assert sorted(values(S.semantic_duplicates(df, 0.9), "ord", "by")) == [(3, 2)]
+        assert sorted(values(S.semantic_duplicates(df.where("id > 1 OR id IS NULL"), 0.9), "ord", "by")) == [(3, 2)]
+
+
 def test_sign_index_finds_nearly_all(rows):
     vectors = planted(600, 8, groups=60, scale=0.3, dims=16)
     df = rows([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, embedding array<double>")
