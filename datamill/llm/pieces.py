@@ -7,7 +7,8 @@ each is projected back to the bytes of the original text it covers.
 No piece of such a model holds a space mark behind another character, so merges never cross the start of a run
 of space marks; a line end that stands in no longer piece is a border as well. Between borders the pieces depend
 on the segment alone: segments are merged by the library, with its own normalisation switched off, and
-remembered in a memory of bounded size.
+remembered in a memory of bounded size, with the characters that each piece covers. Counts and digests of a text are made
+from the pieces and bytes that :func:`encode` returns.
 """
 
 from __future__ import annotations
@@ -16,16 +17,19 @@ import hashlib
 import os
 import re
 import struct
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import accumulate, chain
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 MARK = "▁"
-REMEMBERED = 400_000  # segments that a worker remembers
+REMEMBERED = 600_000  # segments that a worker remembers
 AT_ONCE = 200  # texts whose segments are merged together
 #: A normaliser specification without map, prefix, trimming and escaping. Put after a model it overrides the model's own.
 AS_IS = bytes([3 << 3 | 2, 8, 2 << 3 | 2, 0, 3 << 3, 0, 4 << 3, 0, 5 << 3, 0])
@@ -114,8 +118,12 @@ class Encoder:
             border = "\n" if "\n" not in inside else ""
             self.segments = re.compile(f"{MARK}+[^{MARK}{border}]*|[^{MARK}{border}]+" + (f"|{border}" if border else ""))
         self.merger = sentencepiece.SentencePieceProcessor(model_proto=model + AS_IS)
+        self.kinds = np.array([kind for *_, kind in self.pieces], np.int8)
+        self.names = [" ⁇ " if kind == UNKNOWN else "" if kind == CONTROL else piece for piece, _, kind in self.pieces]
+        self.numbers = [str(i) for i in range(len(self.pieces))]
+        self.sizes = [len(piece) for piece, *_ in self.pieces]
         self.special = frozenset([*self.byte_ids.values(), self.unknown])
-        self.memory: dict[str, tuple[str, str]] = {}
+        self.memory: dict[str, bytes] = {}
 
     # --- normalisation ------------------------------------------------------------------------
 
@@ -158,32 +166,52 @@ class Encoder:
 
     # --- pieces ---------------------------------------------------------------------------------
 
-    def remember(self, texts: list[list[str]]) -> None:
-        """Merge the segments of these texts that aren't known: their ids joined by commas, and what they decode to."""
-        new = list({s for segments in texts for s in segments if s not in self.memory})
+    def remember(self, segments: Iterable[str]) -> list[bytes]:
+        """Ids, first and last characters of the pieces of each of some different segments, merged if they aren't known."""
+        new = [s for s in segments if s not in self.memory]
         if len(self.memory) + len(new) > REMEMBERED:
             self.memory.clear()
-            new = list({s for segments in texts for s in segments})
-        special = self.special
+            new = list(segments)
         for s, ids in zip(new, self.merger.encode(new, num_threads=1)):
-            self.memory[s] = ",".join(map(str, ids)), s if special.isdisjoint(ids) else self._decoded(ids)
+            begins, ends = self._characters(s, ids)
+            self.memory[s] = array("i", [*ids, *begins, *ends]).tobytes()
+        return [self.memory[s] for s in segments]
+
+    def _characters(self, segment: str, ids: list[int]) -> tuple[list[int], list[int]]:
+        """First and last (exclusive) character of a segment that each piece covers; byte pieces all cover their character."""
+        if self.special.isdisjoint(ids):
+            ends = list(accumulate(self.sizes[i] for i in ids))
+            return [0, *ends[:-1]], ends
+        begins: list[int] = []
+        ends = []
+        at = left = size = 0  # left: byte pieces that the character before ``at`` still has
+        for i in ids:
+            kind = self.pieces[i][2]
+            if left:
+                left -= 1
+            elif kind == BYTE:
+                at, size = at + 1, 1
+                left = len(segment[at - 1].encode()) - 1
+            else:
+                size = self._unknown_run(segment, at) if kind == UNKNOWN else self.sizes[i]
+                at += size
+            begins.append(at - size)
+            ends.append(at)
+        return begins, ends
 
     def _decoded(self, ids: list[int]) -> str:
         """Pieces put together, with space marks; runs of byte pieces are read as UTF-8."""
-        pieces = [self.pieces[i] for i in ids]
-        if all([kind == NORMAL for *_, kind in pieces]):
-            return "".join([piece for piece, *_ in pieces])
-        out: list[str] = []
-        held = bytearray()
-        for piece, _, kind in pieces:
-            if kind == BYTE:
-                held.append(int(piece[3:5], 16))
+        out = [self.names[i] for i in ids]
+        at = np.flatnonzero(self.kinds[ids] == BYTE).tolist() if ids else []
+        for k, i in enumerate(at):
+            if k and at[k - 1] == i - 1:
                 continue
-            if held:
-                out.append(_utf8(bytes(held)))
-                held.clear()
-            out.append("" if kind == CONTROL else " ⁇ " if kind == UNKNOWN else piece)
-        return "".join(out) + (_utf8(bytes(held)) if held else "")
+            end = i
+            while end < len(ids) and self.pieces[ids[end]][2] == BYTE:
+                end += 1
+            text = _utf8(bytes(int(piece[3:5], 16) for piece in out[i:end]))
+            out[i:end] = [text, *[""] * (end - i - 1)]
+        return "".join(out)
 
     def decode(self, ids: list[int]) -> str:
         """The text of any ids, as the model's own decoder gives it."""
@@ -194,46 +222,48 @@ class Encoder:
             text = text[1:]
         return text.replace(MARK, " ")
 
-    def cut(self, text: str | None) -> list[str]:
-        """The segments of a text."""
-        return self.segments.findall(self.normalise(text or "")[0])
-
-    def spans(self, text: str | None) -> tuple[list[int], list[int], list[int]]:
-        """Ids with the first and the last byte (exclusive) of the original that each piece covers.
+    def spans(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of texts, one text after the other, with the first and the last byte (exclusive) of the original that each
+        piece covers, behind the places where the texts begin and end.
 
         The byte pieces of one character all cover that character.
         """
-        text = text or ""
-        normal, origin = self.normalise(text)
-        if origin is None:
-            origin = [0] * self.dummy_prefix
-            at = 0
-            for c in text:
-                origin.append(at)
-                at += 1 if c < "\x80" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4
-            origin.append(at)
-        segments = self.segments.findall(normal)
-        self.remember([segments])
-        ids = [int(i) for s in segments for i in self.memory[s][0].split(",")]
-        begins: list[int] = []
-        ends: list[int] = []
-        at = left = 0  # left: byte pieces that the character before ``at`` still has
-        for i in ids:
-            piece, _, kind = self.pieces[i]
-            if left:
-                left -= 1
-            elif kind == BYTE:
-                at, size = at + 1, 1
-                left = len(normal[at - 1].encode()) - 1
-            elif kind == UNKNOWN:
-                size = self._unknown_run(normal, at)
-                at += size
-            else:
-                size = len(piece)
-                at += size
-            begins.append(origin[at - size])
-            ends.append(origin[at])
-        return ids, begins, ends
+        texts = [t or "" for t in texts]
+        normal, origins = zip(*map(self.normalise, texts)) if texts else ((), ())
+        cuts = [self.segments.findall(n) for n in normal]
+        number = {s: i for i, s in enumerate(dict.fromkeys(chain.from_iterable(cuts)))}
+        known = self.remember(number)
+        data = np.frombuffer(b"".join(known), np.int32)
+        each = np.fromiter(map(len, known), np.int64, len(known)) // 12
+        sizes = np.fromiter(map(len, number), np.int64, len(number))
+        code = np.fromiter(map(number.__getitem__, chain.from_iterable(cuts)), np.int64)
+        owner = np.repeat(np.arange(len(texts)), [len(c) for c in cuts])
+
+        # Where the pieces of every segment lie in what is remembered, and its first character in the texts put together.
+        n, size = each[code], sizes[code]
+        place = np.arange(n.sum()) + np.repeat(3 * (np.cumsum(each) - each)[code] - (np.cumsum(n) - n), n)
+        origin, starts = self._origins(texts, origins)
+        lengths = np.fromiter(map(len, normal), np.int64, len(normal))
+        first = np.repeat(np.cumsum(size) - size - (np.cumsum(lengths) - lengths)[owner] + starts[owner], n)
+        step = np.repeat(n, n)
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, weights=n, minlength=len(texts)))]).astype(np.int32)
+        return offsets, data[place], origin[first + data[place + step]], origin[first + data[place + 2 * step]]
+
+    def _origins(self, texts: list[str], origins: tuple[list[int] | None, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """The first byte of every normalised character and the end, one text after the other, and where each text begins."""
+        if any(o is not None and t for o, t in zip(origins, texts)):
+            sizes = np.array([len(o) for o in origins])
+            return np.concatenate([np.array(o, np.int32) for o in origins]), np.cumsum(sizes) - sizes
+        # As the texts are: the prefix and the end take a place, but no byte.
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1 + self.dummy_prefix
+        points = np.frombuffer("".join([f"{' ' * self.dummy_prefix}{t} " for t in texts]).encode("utf-32-le", "surrogatepass"), "<u4")
+        each = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000).astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        each[starts + sizes - 1] = 0
+        if self.dummy_prefix:
+            each[starts] = 0
+        before = np.cumsum(each) - each
+        return (before - np.repeat(before[starts], sizes)).astype(np.int32), starts
 
     def _unknown_run(self, normal: str, at: int) -> int:
         """Characters that one unknown piece stands for: the library merges neighbours that no piece knows."""
@@ -242,24 +272,12 @@ class Encoder:
             end += 1
         return end - at
 
-    def digests(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
-        """Number of ids, SHA-256 of the ids joined by commas, SHA-256 of the decoded text."""
-        out = []
-        for start in range(0, len(texts), AT_ONCE):
-            part = [self.cut(t) for t in texts[start:start + AT_ONCE]]
-            self.remember(part)
-            out.extend(map(self._digest, part))
-        return out
-
-    def _digest(self, segments: list[str]) -> tuple[int, str, str]:
-        known = [self.memory[s] for s in segments]
-        joined = ",".join([ids for ids, _ in known])
-        decoded = "".join([text for _, text in known])
-        if self.dummy_prefix and decoded.startswith(MARK):
-            decoded = decoded[1:]
-        decoded = decoded.replace(MARK, " ")
-        n = joined.count(",") + 1 if joined else 0
-        return n, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "replace")).hexdigest()
+    def digest(self, ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[int, str, str, str]:
+        """Number of ids, SHA-256 of the ids joined by commas, of the decoded text, and of the covered bytes of the pieces."""
+        listed = ids.tolist()
+        joined, decoded = ",".join([self.numbers[i] for i in listed]), self.decode(listed)
+        spans = np.column_stack([begins, ends]).astype("<i4").tobytes()
+        return len(listed), *[hashlib.sha256(x).hexdigest() for x in (joined.encode(), decoded.encode("utf-8", "replace"), spans)]
 
 
 def _utf8(data: bytes) -> str:
@@ -293,18 +311,29 @@ def _shared_model(df: DataFrame, path: str) -> str:
 
 def token_digests(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256) of every row; a null text counts as empty and has no ids."""
-    name = _shared_model(docs, model_path)
-    rows = docs.select(docs[key].alias(key), docs[text].alias("text"))
+    return piece_digests(encode(docs, model_path, key, text), model_path, key).drop("spans_sha256")
+
+
+def piece_digests(rows: DataFrame, model_path: str, key: str = "doc_id") -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256, spans_sha256) of encoded rows.
+
+    The last is the digest of every piece's first and last byte, as little-endian 32-bit numbers.
+    """
+    name = _shared_model(rows, model_path)
+    rows = rows.select(rows[key].alias(key), "ids", "begins", "ends")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(name)
         for batch in batches:
-            found = encoder.digests(batch.column(1).to_pylist())
-            n, ids, decoded = zip(*found) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
+            lists = [batch.column(i) for i in (1, 2, 3)]
+            flat = [x.flatten().to_numpy() for x in lists]
+            cuts = lists[0].offsets.to_numpy() - lists[0].offsets[0].as_py()
+            found = [encoder.digest(*[x[low:high] for x in flat]) for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+            n, *digests = zip(*found) if found else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *[pa.array(d, pa.string()) for d in digests]], [key, "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
 
 
 def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -315,9 +344,11 @@ def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(name)
         for batch in batches:
-            found = [encoder.spans(t) for t in batch.column(1).to_pylist()]
-            columns = zip(*found) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.list_(pa.int32())) for c in columns]], [key, "ids", "begins", "ends"])
+            for start in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(start, AT_ONCE)
+                offsets, *found = encoder.spans(part.column(1).to_pylist())
+                lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in found]
+                yield pa.RecordBatch.from_arrays([part.column(0), *lists], [key, "ids", "begins", "ends"])
 
     kind = rows.schema[key].dataType.simpleString()
     return rows.mapInArrow(run, f"`{key}` {kind}, ids array<int>, begins array<int>, ends array<int>")

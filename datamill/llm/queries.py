@@ -89,7 +89,8 @@ def _(spark, sf):
 
 @query("op8_pieces")
 def _(spark, sf):
-    return pieces.token_digests(table(spark, sf, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    model = tokenizer_path("piece_bpe_32k.model")
+    return pieces.piece_digests(pieces.encode(table(spark, sf, "documents"), model), model)
 
 
 @query("op6_minhash")

@@ -176,6 +176,29 @@ def test_pieces_like_the_library(spark, library):
     assert pieces.token_digests(docs.limit(0), MODEL).count() == 0
 
 
+def test_digests_come_from_the_encoded_pieces(spark, monkeypatch):
+    """The query and the stage digest what ``encode`` returns, and the spans are those of a plain projection."""
+    data = [(i, t) for i, t in enumerate(texts()[:300])] + [(None, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in pieces.piece_digests(pieces.encode(docs, MODEL), MODEL).collect()}
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    for i, t in data:
+        spans, at, left, text = [], 0, 0, t or ""
+        for n in library.encode(text):
+            if left:
+                left -= 1
+            else:
+                size = 1 if library.is_byte(n) else len(library.id_to_piece(n))
+                begin, at = at, at + size
+                left = len(text[begin - 1].encode()) - 1 if library.is_byte(n) else 0
+            # The library puts one space mark in front, which no byte of the text stands for.
+            spans += [len(text[:max(0, x - 1)].encode()) for x in (begin, at)]
+        assert rows[i]["spans_sha256"] == hashlib.sha256(np.array(spans, "<i4").tobytes()).hexdigest()
+    called, encode = [], pieces.encode
+    monkeypatch.setattr(pieces, "encode", lambda *a, **k: called.append(1) or encode(*a, **k))
+    assert {r["doc_id"]: tuple(r)[1:] for r in pieces.token_digests(docs, MODEL).collect()} == {i: tuple(r)[1:4] for i, r in rows.items()} and called
+
+
 def test_compiled_map_like_the_library():
     normaliser = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc")
     spec = {3: 1, 4: 1, 5: 1} | dict(pieces._fields(dict(pieces._fields(normaliser.serialized_model_proto()))[3]))
