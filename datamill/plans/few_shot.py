@@ -1,7 +1,8 @@
 """Search for the demonstrations that make a model answer best, and keep the winner.
 
 Every (set of demonstrations, validation row) is one request in one table; answers are scored and sets ranked in one
-aggregation. Requests go through the ledger, so a search that broke off asks only what is open.
+aggregation. Requests go through the ledger, so a search that broke off asks only what is open. Demonstrations are not shuffled
+or stored with every request: a request is its set's name and the validation row's text until it is asked.
 """
 
 from __future__ import annotations
@@ -43,8 +44,11 @@ def requests(sets: DataFrame, val: DataFrame, header: str, task_type: str) -> Da
     """One request per set and validation row; the few sets are carried along as one literal table."""
     every = sets.agg(F.collect_list(F.struct("strategy", "demos"))).scalar()
     query = F.col("text") if "text" in val.columns else F.array_join("tokens", " ")
-    rows = val.select("*", F.inline(every))
-    return rows.withColumn("prompt", few_shot_prompt(F.lit(header), F.col("demos"), query, task_type)).drop("demos")
+    return _prompted(val.select("*", query.alias("_query"), F.inline(every)), header, task_type)
+
+
+def _prompted(rows: DataFrame, header: str, task_type: str) -> DataFrame:
+    return rows.withColumn("prompt", few_shot_prompt(F.lit(header), F.col("demos"), F.col("_query"), task_type)).drop("demos")
 
 
 def search(
@@ -58,7 +62,10 @@ def search(
         "type string, description string, labels array<string>, score_min double, score_max double")
     header = described.select(task_header().alias("h")).first()["h"]
     sets = cut_lineage(demonstration_sets(train, kind, k, strategies, trials))
-    answers = ask_open(requests(sets, val, header, kind), f"{root}/ledger", model, call, **options)
+    few = F.broadcast(sets.select("strategy", "demos"))
+    answers = ask_open(
+        requests(sets, val, header, kind), f"{root}/ledger", model, call, parts=("strategy", "_query"),
+        made=lambda rows: _prompted(rows.join(few, "strategy"), header, kind), **options)
     gold = {c: F.col(c) for c in ("label", "value", "tags") if c in val.columns}
     scored = answers.select("strategy", F.coalesce(answer_correct(kind, F.col("response"), **gold), F.lit(False)).alias("correct"))
     ranking = cut_lineage(rank_strategies(scored))

@@ -1,5 +1,6 @@
 """Whole jobs that break off and run again, the model store, and the request ledger."""
 
+import re
 import uuid
 
 import pytest
@@ -12,6 +13,7 @@ from datamill.plans import active_round as A, few_shot as S
 from datamill.plans.train import run_log, train_and_register
 from datamill.session import checkpoint_dir
 from datamill.sources import registry, steps as steps_module
+from datamill.sources import ledger as L
 from datamill.sources.ledger import ask_open, open_requests, read_ledger
 from datamill.sources.model_store import ModelStore
 from datamill.sources.steps import Steps
@@ -24,6 +26,27 @@ def folder(spark):
     return f"{checkpoint_dir(spark)}/jobs-{uuid.uuid4().hex}"
 
 
+def test_waves_read_their_own_requests(rows, folder, monkeypatch):
+    """Every wave reads only stored shares of its own, and prompts made of parts are stored without what is added to them."""
+    seen, ask = [], L.ask
+    def noted(part, *a, **k):
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        seen.append((bool(re.search(r"PartitionFilters: \[[^\]]*_share", plan)), {r[0] for r in part.select("prompt").collect()}))
+        return ask(part, *a, **k)
+
+    monkeypatch.setattr(L, "ask", noted)
+    head = "long " * 1000
+    asked = rows([(f"t{i}", i) for i in range(40)] + [("t1", 40), (None, 41)], "text string, n int").withColumn("prompt", F.concat(F.lit(head), "text"))
+    out = L.ask_open(
+        asked, folder, "m", lambda texts: [t.upper() for t in texts], wave_rows=10, parts=("text",),
+        made=lambda part: part.withColumn("prompt", F.concat(F.lit(head), "text")), tries=1, wait=0.0)
+    assert {r.n: r.response for r in out.select("n", "response").collect()} == {
+        **{i: (head + f"t{i}").upper() for i in range(40)}, 40: (head + "t1").upper(), 41: None}
+    assert len(seen) > 2 and all(pruned for pruned, _ in seen) and sorted(t for _, texts in seen for t in texts) == sorted(f"{head}t{i}" for i in range(40))
+    assert L.open_requests(asked, folder, "n", parts=("text",)).columns == ["key", "text"]
+    assert L._waves([(0, 6), (1, 4), (2, 1), (3, 30)], 10) == [[0, 1], [2], [3]] and L._waves([], 10) == []
+
+
 def test_a_broken_job_keeps_its_waves(rows, folder):
     requests = rows([(f"p{i}",) for i in range(40)] + [("p1",), (None,)], "prompt string")
 
