@@ -10,7 +10,7 @@ from datamill.functions.hashing import draw
 from datamill.functions.prompts import batch_prompt, example_text, few_shot_prompt, system_prompt, task_header
 from datamill.operators import responses as R, select as S
 from datamill.operators.active import classification_uncertainty, match_candidates, most_uncertain
-from datamill.operators.split import batches
+from datamill.operators.split import batches, in_batches, number_rows
 from datamill.operators.validate import classification_reason
 from datamill.queries.views import EXAMPLES, LABELS, PREDS, SCORES, SEQUENCES, examples, preds, scores, sequences, table, u, with_views
 from datamill.sources.jsonl import merge_stages, tag_source
@@ -300,10 +300,10 @@ TASK_SYSTEMS = {
     f"SELECT '{name}' AS kind, batch, {q(system)} || chr(10) || chr(10) || prompt AS prompt FROM ({SQL[name]})" for name, system in TASK_SYSTEMS.items()))
 def _(spark, sf):
     """Requests that say what the task is and which labels it has."""
-    rows = examples(spark, sf)
+    rows = number_rows(examples(spark, sf))
     made = {
-        "judge_requests": R.judge_requests(batches(rows, 15), TASK), "quality_requests": R.quality_requests(batches(rows, 20), TASK),
-        "zero_shot_requests": R.zero_shot_requests(batches(rows, 20), TASK)}
+        "judge_requests": R.judge_requests(in_batches(rows, 15), TASK), "quality_requests": R.quality_requests(in_batches(rows, 20), TASK),
+        "zero_shot_requests": R.zero_shot_requests(in_batches(rows, 20), TASK)}
     parts = [part.select(F.lit(name).alias("kind"), "batch", R.whole_prompt().alias("prompt")) for name, part in made.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 

@@ -185,3 +185,20 @@ def test_uncertainty_by_task_type(rows):
 def test_trainable_rows(rows):
     df = rows([("a b", "x"), ("", "x"), (None, "x"), ("c", None), ("c", "")], "text string, label string")
     assert validate.trainable(df, "classification").count() == 4
+
+
+def test_task_requests_number_the_rows_once(rows, folder, monkeypatch):
+    """Requests of all kinds and sizes come from one numbering, and every row is asked once in each kind."""
+    from datamill.operators import split
+    from datamill.queries import labelling
+
+    rows([(i, f"text {i}", "en", "web") for i in range(50)], "doc_id long, text string, lang string, source string").write.parquet(f"{folder}/documents.parquet")
+    calls, number = [], split.id_positions
+    monkeypatch.setattr(split, "id_positions", lambda *a: calls.append(a) or number(*a))
+    found = labelling.QUERIES["task_requests"](rows([(1,)], "n int").sparkSession, folder).collect()
+    assert len(calls) == 1
+    assert {k: sum(r.kind == k for r in found) for k in ("judge_requests", "quality_requests", "zero_shot_requests")} == {
+        "judge_requests": 4, "quality_requests": 3, "zero_shot_requests": 3}
+    for kind in ("judge_requests", "quality_requests", "zero_shot_requests"):
+        asked = "\n".join(r.prompt for r in found if r.kind == kind)
+        assert all(asked.count(f'"text {i}"') == 1 for i in range(50))
