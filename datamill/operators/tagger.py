@@ -2,6 +2,7 @@
 
 Spark computes and hashes the token features and shards the sequences. In every epoch each shard
 runs one perceptron pass from the same broadcast weights; Spark averages what the shards return.
+Weights change with every wrong sequence, so a shard decodes one at a time; a finished tagger decodes many side by side.
 The weights have a fixed size (hash slots x tags), independent of the number of sequences.
 Method: McDonald, Hall, Mann, "Distributed Training Strategies for the Structured Perceptron" (2010).
 """
@@ -12,7 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from datamill.functions.hashing import draw
@@ -21,6 +22,8 @@ from datamill.operators.sequences import token_features
 from datamill.session import spread
 
 SLOTS, EPOCHS = 1 << 18, 10
+#: Tokens of sequences decoded side by side, tokens whose weights are gathered at once, and tags up to which plain numbers are faster than arrays.
+TOKENS, GATHERED, FEW_TAGS = 1 << 19, 1 << 14, 6
 
 
 def slot_arrays(tokens: Column | str, slots: int = SLOTS) -> Column:
@@ -42,15 +45,38 @@ def slot_arrays(tokens: Column | str, slots: int = SLOTS) -> Column:
     return F.slice(F.transform(zipped, hashed), F.lit(1), n)
 
 
-def _emissions(weights: np.ndarray, feats: list) -> np.ndarray:
-    """Score of every tag at every token."""
-    sizes = np.array([len(f) for f in feats])
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    return np.add.reduceat(weights[np.concatenate(feats)], starts, axis=0)
+@dataclass
+class Lists:
+    """Sequences as flat arrays: the features of all tokens, where each token's begin, and where each sequence's tokens begin."""
+
+    feats: np.ndarray
+    tokens: np.ndarray
+    rows: np.ndarray
+
+    @staticmethod
+    def of(column: pa.ListArray) -> "Lists":
+        tokens = column.flatten()
+        sizes = [x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) for x in (tokens, column)]
+        return Lists(tokens.flatten().to_numpy(zero_copy_only=False), *[np.concatenate([[0], np.cumsum(n, dtype=np.int64)]) for n in sizes])
+
+    def until(self, low: int) -> int:
+        """The end of sequences from ``low`` on with ``TOKENS`` tokens at most, one sequence at least."""
+        return max(low + 1, int(np.searchsorted(self.rows, self.rows[low] + TOKENS, side="right")) - 1)
+
+    def emissions(self, weights: np.ndarray, low: int, high: int) -> np.ndarray:
+        """Score of every tag at every token of some sequences."""
+        out = np.empty((self.rows[high] - self.rows[low], weights.shape[1]))
+        for at in range(self.rows[low], self.rows[high], GATHERED):
+            cuts = self.tokens[at:min(at + GATHERED, self.rows[high]) + 1]
+            put = at - self.rows[low]
+            out[put:put + len(cuts) - 1] = np.add.reduceat(weights[self.feats[cuts[0]:cuts[-1]]], cuts[:-1] - cuts[0], axis=0)
+        return out
 
 
 def best_path(emit: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Best tag path and the final scores; the last row of ``moves`` starts a sequence."""
+    if emit.shape[1] <= FEW_TAGS:
+        return _best_path_of_few(emit, moves)
     score = emit[0] + moves[-1]
     back = np.zeros(emit.shape, dtype=np.int64)
     for i in range(1, len(emit)):
@@ -64,6 +90,59 @@ def best_path(emit: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return path, score
 
 
+def _best_path_of_few(emit: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same sums and choices on plain numbers."""
+    score, into, back = (emit[0] + moves[-1]).tolist(), moves[:-1].T.tolist(), []
+    for line in emit[1:].tolist():
+        new, came = [], []
+        for way, gain in zip(into, line):
+            best, at, tag = None, 0, 0
+            for have, step in zip(score, way):
+                total = have + step
+                if best is None or total > best:
+                    best, at = total, tag
+                tag += 1
+            new.append(best + gain)
+            came.append(at)
+        back.append(came)
+        score = new
+    tag = int(np.argmax(score))
+    path = [tag]
+    for came in reversed(back):
+        tag = came[tag]
+        path.append(tag)
+    return np.array(path[::-1], np.int64), np.array(score)
+
+
+def best_paths(emit: np.ndarray, cuts: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`best_path` of many sequences side by side, with the same sums: their tags in a row, and a line of final scores each.
+
+    ``cuts``: where the sequences begin, and the end. A sequence without tokens has scores of zero.
+    """
+    sizes = np.diff(cuts)
+    order = np.argsort(-sizes, kind="stable")
+    order = order[:np.count_nonzero(sizes)]
+    first, longest = cuts[order], int(sizes.max(initial=0))
+    going = len(order) - np.searchsorted(sizes[order][::-1], np.arange(longest), side="right")
+    score = emit[first] + moves[-1]
+    back = np.zeros(emit.shape, np.int32)
+    for i in range(1, longest):
+        m = going[i]
+        at = first[:m] + i
+        ways = score[:m, :, None] + moves[:-1]
+        back[at] = ways.argmax(axis=1)
+        score[:m] = ways.max(axis=1) + emit[at]
+    path, tag = np.empty(len(emit), np.int64), score.argmax(axis=1)
+    for i in range(longest - 1, -1, -1):
+        m = going[i]
+        at = first[:m] + i
+        path[at] = tag[:m]
+        tag[:m] = back[at, tag[:m]]
+    scores = np.zeros((len(sizes), emit.shape[1]))
+    scores[order] = score
+    return path, scores
+
+
 @dataclass
 class Tagger:
     """Weights per (slot, tag) and per (previous tag, tag)."""
@@ -76,40 +155,42 @@ class Tagger:
     def slots(self) -> int:
         return len(self.weights)
 
-    def _score(self, df: DataFrame, schema: str, result) -> DataFrame:
+    def _score(self, df: DataFrame, name: str, kind: str, result) -> DataFrame:
+        """(id, tokens) and what ``result`` makes of the tags and final scores of the sequences of a batch."""
         shared = df.sparkSession.sparkContext.broadcast((self.weights, self.moves))
-        rows = spread(df).withColumn("_slots", slot_arrays("tokens", self.slots))
+        rows = spread(df.select("id", "tokens")).withColumn("_slots", slot_arrays("tokens", self.slots))
 
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             weights, moves = shared.value
-            for pdf in frames:
-                found = [best_path(_emissions(weights, list(s)), moves) if len(s) else None for s in pdf["_slots"]]
-                yield result(pdf.drop(columns="_slots"), found)
-
-        return rows.mapInPandas(run, schema)
+            for batch in batches:
+                lists, low = Lists.of(batch.column(2)), 0
+                while low < batch.num_rows:
+                    high = lists.until(low)
+                    path, scores = best_paths(lists.emissions(weights, low, high), lists.rows[low:high + 1] - lists.rows[low], moves)
+                    part = batch.slice(low, high - low)
+                    found = result(path, scores, lists.rows[low:high + 1] - lists.rows[low])
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), found], ["id", "tokens", name])
+                    low = high
+
+        return rows.mapInArrow(run, f"id {dict(df.dtypes)['id']}, tokens array<string>, {name} {kind}")
 
     def predict(self, df: DataFrame) -> DataFrame:
         """(id, tokens) with predicted ``tags``."""
-        tags = np.array(self.tags, dtype=object)
+        names = self.tags
 
-        def result(pdf, found):
-            return pdf.assign(tags=[[] if f is None else tags[f[0]].tolist() for f in found])
+        def result(path, scores, cuts):
+            return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(names, pa.string()).take(pa.array(path)))
 
-        return self._score(df.select("id", "tokens"), f"id {dict(df.dtypes)['id']}, tokens array<string>, tags array<string>", result)
+        return self._score(df, "tags", "array<string>", result)
 
     def margins(self, df: DataFrame) -> DataFrame:
         """(id, tokens) with ``margin`` between the two best final scores, and ``uncertainty``."""
-        def margin(f):
-            if f is None:
-                return 0.0
-            top = np.sort(f[1])[::-1]
-            return float(top[0] - top[1]) if len(top) > 1 else float("inf")
-
-        def result(pdf, found):
-            return pdf.assign(margin=[margin(f) for f in found])
+        def result(path, scores, cuts):
+            top = np.sort(scores, axis=1)
+            margin = top[:, -1] - top[:, -2] if top.shape[1] > 1 else np.full(len(top), np.inf)
+            return pa.array(np.where(np.diff(cuts) > 0, margin, 0.0))
 
-        out = self._score(df.select("id", "tokens"), f"id {dict(df.dtypes)['id']}, tokens array<string>, margin double", result)
-        return out.withColumn("uncertainty", margin_uncertainty("margin"))
+        return self._score(df, "margin", "double", result).withColumn("uncertainty", margin_uncertainty("margin"))
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Nonzero weights as a table (kind, i, j, weight), and the tag names."""
@@ -152,32 +233,35 @@ def train_tagger(df: DataFrame, tags: list[str], epochs: int = EPOCHS, slots: in
     for _ in range(epochs):
         shared = spark.sparkContext.broadcast(now)
 
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flat = shared.value.copy()
             weights, moves = flat[:slots * n].reshape(slots, n), flat[slots * n:].reshape(n + 1, n)
             lagged, seen = np.zeros_like(flat), 0
             lag_w, lag_m = lagged[:slots * n].reshape(slots, n), lagged[slots * n:].reshape(n + 1, n)
-            for pdf in frames:
-                for feats, gold in zip(pdf["slots"], pdf["gold"]):
-                    feats, gold = list(feats), np.asarray(gold)
-                    path, _ = best_path(_emissions(weights, feats), moves)
-                    for i in np.flatnonzero(path != gold):
+            for batch in batches:
+                lists, tagged = Lists.of(batch.column(0)), batch.column(1).flatten().to_numpy()
+                for at in range(batch.num_rows):
+                    begin, end = lists.rows[at:at + 2]
+                    gold, (path, _) = tagged[begin:end], best_path(lists.emissions(weights, at, at + 1), moves)
+                    wrong = np.flatnonzero(path != gold)
+                    for i in wrong:
+                        feats = lists.feats[lists.tokens[begin + i]:lists.tokens[begin + i + 1]]
                         for tag, sign in ((gold[i], 1.0), (path[i], -1.0)):
-                            np.add.at(weights, (feats[i], tag), sign)
-                            np.add.at(lag_w, (feats[i], tag), sign * seen)
-                    if (path != gold).any():
-                        for tagged, sign in ((gold, 1.0), (path, -1.0)):
-                            step = (np.concatenate([[n], tagged[:-1]]), tagged)
+                            np.add.at(weights, (feats, tag), sign)
+                            np.add.at(lag_w, (feats, tag), sign * seen)
+                    if len(wrong):
+                        for tags_of, sign in ((gold, 1.0), (path, -1.0)):
+                            step = (np.concatenate([[n], tags_of[:-1]]), tags_of)
                             np.add.at(moves, step, sign)
                             np.add.at(lag_m, step, sign * seen)
                     seen += 1
             if seen:
                 change, mean = flat - shared.value, flat - lagged / seen - shared.value
                 at = np.flatnonzero((change != 0) | (mean != 0))
-                yield pd.DataFrame({"slot": at, "change": change[at], "mean": mean[at], "seen": False})
-                yield pd.DataFrame({"slot": [-1], "change": [1.0], "mean": [1.0], "seen": [True]})
+                for x in ({"slot": at, "change": change[at], "mean": mean[at]}, {"slot": [-1], "change": [1.0], "mean": [1.0]}):
+                    yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in x.items()})
 
-        parts = data.mapInPandas(run, "slot bigint, change double, mean double, seen boolean")
+        parts = data.select("slots", "gold").mapInArrow(run, "slot bigint, change double, mean double")
         mixed = parts.groupBy("slot").agg(F.sum("change").alias("change"), F.sum("mean").alias("mean")).toPandas().set_index("slot")
         if mixed.empty:
             break

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from datamill.operators import metrics as M, ml, sequences as Q
 from datamill.operators.active import dropout_uncertainty
-from datamill.operators.tagger import Tagger, best_path, train_tagger
+from datamill.operators.tagger import Tagger, best_path, best_paths, train_tagger
 
 GOOD, BAD = "great lovely product works well", "terrible awful broken waste money"
 
@@ -144,3 +144,19 @@ def test_tagger_margin_does_not_depend_on_idle_epochs(rows):
     assert abs(few - many) < 1e-9
     with pytest.raises(ValueError):
         train_tagger(df, ["O"])
+
+
+def test_paths_side_by_side_are_those_one_by_one():
+    """Whole numbers make ties, which must fall alike; eight tags take the way over arrays."""
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 3, 8):
+        sizes = rng.integers(0, 9, 40)
+        cuts = np.concatenate([[0], np.cumsum(sizes)])
+        emit, moves = rng.integers(-2, 3, (cuts[-1], n)) / 1.0, rng.integers(-1, 2, (n + 1, n)) / 1.0
+        path, scores = best_paths(emit, cuts, moves)
+        for k in np.flatnonzero(sizes):
+            one, score = best_path(emit[cuts[k]:cuts[k + 1]], moves)
+            plain = emit[cuts[k]] + moves[-1]
+            for line in emit[cuts[k] + 1:cuts[k + 1]]:
+                plain = (plain[:, None] + moves[:-1]).max(axis=0) + line
+            assert (one == path[cuts[k]:cuts[k + 1]]).all() and (score == scores[k]).all() and (score == plain).all()
