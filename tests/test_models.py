@@ -1,5 +1,8 @@
+import threading
+
 import numpy as np
 import pytest
+from pyspark.ml.classification import RandomForestClassifier
 from conftest import values
 from pyspark.sql import functions as F
 
@@ -160,3 +163,37 @@ def test_paths_side_by_side_are_those_one_by_one():
             for line in emit[cuts[k] + 1:cuts[k + 1]]:
                 plain = (plain[:, None] + moves[:-1]).max(axis=0) + line
             assert (one == path[cuts[k]:cuts[k + 1]]).all() and (score == scores[k]).all() and (score == plain).all()
+
+
+def _talk(n):
+    return [(i, ("good fine nice " if i % 2 else "bad poor sad ") * 3, "pos" if i % 2 else "neg") for i in range(n)]
+
+
+def test_terms_that_occur_equally_often_come_in_order(rows):
+    df = rows([(1, "zz yy xx"), (2, "yy zz"), (3, None)], "id long, text string")
+    stages, found = ml.fit_text(df.where("text IS NOT NULL"), ["id"], 3)
+    assert next(s.vocabulary for s in stages.stages if hasattr(s, "vocabulary")) == ["yy", "zz", "xx"]
+    assert sorted(r["id"] for r in found.collect()) == [1, 2]
+    found.unpersist()
+
+
+def test_folds_are_trained_at_the_same_time(rows, monkeypatch):
+    together = threading.Barrier(3, timeout=60)
+    monkeypatch.setattr(ml, "train_classifier", lambda train, val, *a: together.wait() * 0 or ml.Trained(None, val.count() / 6, {}))
+    folds = rows([(*r, i % 3) for i, r in enumerate(_talk(18))], "id long, text string, label string, fold int")
+    assert {tuple(r) for r in ml.cross_validate(folds, 3).collect()} == {(0, 1.0), (1, 1.0), (2, 1.0)}
+
+
+def test_forests_get_partitions_of_bounded_rows(rows, monkeypatch):
+    class Forest(RandomForestClassifier):
+        def fit(self, df, params=None):
+            seen.append(df.rdd.getNumPartitions())
+            return super().fit(df, params)
+
+    seen: list[int] = []
+    monkeypatch.setattr(ml, "FOREST_ROWS", 2)
+    df = rows(_talk(40), "id long, text string, label string")
+    shared = ml.Features(df, df)
+    shared.fit(Forest(numTrees=2, maxDepth=2, featuresCol="features", labelCol="_label"))
+    shared.release()
+    assert seen == [20]
