@@ -24,13 +24,14 @@ from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 MARK = "▁"
-REMEMBERED = 600_000  # segments that a worker remembers
-AT_ONCE = 200  # texts whose segments are merged together
+REMEMBERED = 100_000  # segments that a worker remembers as used lately, and as many used before
+AT_ONCE, BYTES = 200, 500_000  # texts whose segments are merged together, and their bytes, unless a text has more
 #: A normaliser specification without map, prefix, trimming and escaping. Put after a model it overrides the model's own.
 AS_IS = bytes([3 << 3 | 2, 8, 2 << 3 | 2, 0, 3 << 3, 0, 4 << 3, 0, 5 << 3, 0])
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -124,6 +125,7 @@ class Encoder:
         self.sizes = [len(piece) for piece, *_ in self.pieces]
         self.special = frozenset([*self.byte_ids.values(), self.unknown])
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     # --- normalisation ------------------------------------------------------------------------
 
@@ -168,10 +170,17 @@ class Encoder:
 
     def remember(self, segments: Iterable[str]) -> list[bytes]:
         """Ids, first and last characters of the pieces of each of some different segments, merged if they aren't known."""
-        new = [s for s in segments if s not in self.memory]
-        if len(self.memory) + len(new) > REMEMBERED:
-            self.memory.clear()
-            new = list(segments)
+        missing = [s for s in segments if s not in self.memory]
+        if len(self.memory) + len(missing) > REMEMBERED:
+            # What is used on is taken over from the older memory, so common segments stay.
+            self.older, self.memory = self.memory, {}
+            missing = list(segments)
+        new = []
+        for s in missing:
+            if s in self.older:
+                self.memory[s] = self.older[s]
+            else:
+                new.append(s)
         for s, ids in zip(new, self.merger.encode(new, num_threads=1)):
             begins, ends = self._characters(s, ids)
             self.memory[s] = array("i", [*ids, *begins, *ends]).tobytes()
@@ -311,7 +320,19 @@ def _shared_model(df: DataFrame, path: str) -> str:
 
 def token_digests(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256) of every row; a null text counts as empty and has no ids."""
-    return piece_digests(encode(docs, model_path, key, text), model_path, key).drop("spans_sha256")
+    return encode(docs, model_path, key, text, digests=True).drop("spans_sha256")
+
+
+def _digest_kind(key: str, kind: str) -> str:
+    return f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string"
+
+
+def _digested(encoder: Encoder, keys: pa.Array, lists: list[pa.ListArray], key: str) -> pa.RecordBatch:
+    flat = [x.flatten().to_numpy() for x in lists]
+    cuts = lists[0].offsets.to_numpy() - lists[0].offsets[0].as_py()
+    found = [encoder.digest(*[x[low:high] for x in flat]) for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+    n, *digests = zip(*found) if found else ((), (), (), ())
+    return pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64()), *[pa.array(d, pa.string()) for d in digests]], [key, "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
 
 
 def piece_digests(rows: DataFrame, model_path: str, key: str = "doc_id") -> DataFrame:
@@ -325,33 +346,37 @@ def piece_digests(rows: DataFrame, model_path: str, key: str = "doc_id") -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(name)
         for batch in batches:
-            lists = [batch.column(i) for i in (1, 2, 3)]
-            flat = [x.flatten().to_numpy() for x in lists]
-            cuts = lists[0].offsets.to_numpy() - lists[0].offsets[0].as_py()
-            found = [encoder.digest(*[x[low:high] for x in flat]) for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-            n, *digests = zip(*found) if found else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *[pa.array(d, pa.string()) for d in digests]], [key, "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
+            yield _digested(encoder, batch.column(0), [batch.column(i) for i in (1, 2, 3)], key)
 
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
+    return rows.mapInArrow(run, _digest_kind(key, rows.schema[key].dataType.simpleString()))
 
 
-def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids, begins, ends): the pieces of every text and the bytes of the original each one covers."""
+def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", digests: bool = False) -> DataFrame:
+    """(key, ids, begins, ends): the pieces of every text and the bytes of the original each one covers.
+
+    With ``digests`` what :func:`piece_digests` makes of them, in the same task: the pieces stay in its memory.
+    """
     name = _shared_model(docs, model_path)
     rows = docs.select(docs[key].alias(key), docs[text].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(name)
         for batch in batches:
-            for start in range(0, batch.num_rows, AT_ONCE):
-                part = batch.slice(start, AT_ONCE)
+            ends = np.concatenate([[0], np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+            start = 0
+            while start < batch.num_rows:
+                most = int(np.searchsorted(ends, ends[start] + BYTES, side="right")) - 1 - start
+                part = batch.slice(start, max(1, min(AT_ONCE, most)))
+                start += part.num_rows
                 offsets, *found = encoder.spans(part.column(1).to_pylist())
                 lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in found]
-                yield pa.RecordBatch.from_arrays([part.column(0), *lists], [key, "ids", "begins", "ends"])
+                if digests:
+                    yield _digested(encoder, part.column(0), lists, key)
+                else:
+                    yield pa.RecordBatch.from_arrays([part.column(0), *lists], [key, "ids", "begins", "ends"])
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{key}` {kind}, ids array<int>, begins array<int>, ends array<int>")
+    return rows.mapInArrow(run, _digest_kind(key, kind) if digests else f"`{key}` {kind}, ids array<int>, begins array<int>, ends array<int>")
 
 
 def decode(rows: DataFrame, model_path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:

@@ -199,6 +199,25 @@ def test_digests_come_from_the_encoded_pieces(spark, monkeypatch):
     assert {r["doc_id"]: tuple(r)[1:] for r in pieces.token_digests(docs, MODEL).collect()} == {i: tuple(r)[1:4] for i, r in rows.items()} and called
 
 
+def test_memory_is_bounded_and_keeps_common_segments(monkeypatch):
+    monkeypatch.setattr(pieces, "REMEMBERED", 10)
+    with open(MODEL, "rb") as f:
+        encoder = pieces.Encoder(f.read())
+    merged, merger = [], encoder.merger
+
+    class Counting:
+        def encode(self, some, **options):
+            merged.extend(some)
+            return merger.encode(some, **options)
+
+    encoder.merger = Counting()
+    for i in range(60):
+        got = encoder.remember(["▁the", f"▁word{i}"])
+        assert got == [encoder.memory["▁the"], encoder.memory[f"▁word{i}"]]
+        assert len(encoder.memory) + len(encoder.older) <= 20
+    assert merged.count("▁the") == 1 and len(merged) == 61
+
+
 def test_compiled_map_like_the_library():
     normaliser = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc")
     spec = {3: 1, 4: 1, 5: 1} | dict(pieces._fields(dict(pieces._fields(normaliser.serialized_model_proto()))[3]))
