@@ -116,6 +116,41 @@ def test_similar_sets_share_enough_keys(a, flips, t):
     assert len(shared) >= max(max(x[p], y[q]) for p, q in shared)
 
 
+def _spread_texts(n, seed):
+    """Texts of a small alphabet: unlike as wholes, but with common pieces, so many of their parts are the same."""
+    rng = np.random.default_rng(seed)
+    words = ["".join(rng.choice(list("abcdefgh"), 4)) for _ in range(300)]
+    return [" ".join(rng.choice(words, rng.integers(30, 90))) for _ in range(n)]
+
+
+def test_unlike_rows_leave_no_keys(rows):
+    """Texts that only share common parts are ruled out by their bits: no key and no candidate is made of them."""
+    texts = _spread_texts(150, 6)
+    texts += [texts[0] + "x", texts[1] + "yy"]
+    df = rows([(i, x, "") for i, x in enumerate(texts)], SCHEMA)
+    sets = D.GramSets(D._first_texts(df, "id", "text", None), 0.85)
+    grams = [set(pack_grams(x).tolist()) for x in texts]
+    want = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= 0.85}
+    linked = {r.ord for r in sets.index().select("ord").distinct().collect()}
+    assert want >= {(0, 150), (1, 151)} and {x for p in want for x in p} <= linked and len(linked) < 30
+    assert set(values(sets.pairs(), "lo", "hi")) == want
+
+
+@pytest.mark.parametrize("kind, t", [("long", 0.85), ("string", 0.5)])
+def test_cells_blocks_and_tasks(rows, monkeypatch, kind, t):
+    """Cells of a few rows, passed by in several tasks, and sets in many blocks give each pair once."""
+    for name, value in (("BLOCK", 10), ("STREAM", 25), ("SETS", 7), ("SLICE", 4)):
+        monkeypatch.setattr(D, name, value)
+    texts = list(dict.fromkeys(x.strip() for s in range(3) for x in _family(30, s)))
+    name = (lambda i: f"r{i:04d}") if kind == "string" else int
+    df = rows([(name(i), x, "") for i, x in enumerate(texts)], f"id {kind}, text string, label string")
+    sets = [frozenset(pack_grams(x).tolist()) for x in texts]
+    lead = sorted({s: i for i, s in reversed(list(enumerate(sets)))}.values())
+    want = sorted((name(a), name(b)) for a in lead for b in lead if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= t)
+    assert sorted(values(D.similar_pairs(df, t), "lo", "hi")) == want
+    assert ids(D.deduplicate(df, t)) == [name(i) for i in greedy(texts, t)]
+
+
 def test_chain_keeps_the_third(rows):
     edges = rows([(1, 2), (2, 3)], "lo long, hi long")
     assert sorted(values(FW.resolve_edges(edges), "ord", "by")) == [(2, 1)]
