@@ -97,3 +97,12 @@ def test_insert(rows):
     df = rows([(1, "a b c")], "id long, t string")
     words = df.select(W.insert_fillers("t", F.col("id"), "s", 1.0)).first()[0].split(" ")
     assert words[1::2] == ["a", "b", "c"] and set(words[0::2]) <= set(FILLERS)
+
+
+def test_words_are_cut_once(rows):
+    """However often features and similarities use the words of a text, they are cut out of it once."""
+    from datamill.functions import text as X
+
+    df = rows([(1, "One two, two three", "two three")], "id long, a string, b string")
+    for column, texts in ((X.text_features("a"), 1), (X.text_similarity("a", "b"), 2), (X.ngrams(X.tokenize("a"), 2), 1)):
+        assert df.select(column.alias("x"))._jdf.queryExecution().analyzed().toString().split("LogicalRDD")[0].count("split(") == texts
