@@ -36,6 +36,8 @@ def augment(
     rows = rows.withColumn("_new", F.when(
         F.col("_filled") == original, replace_synonyms(original, key, "again_at", synonym_chance)
     ).otherwise(F.col("_filled")))
+    # Through a generator: a condition on the plain column would have every step made again, several times, to test it.
+    rows = rows.withColumn("_new", F.explode_outer(F.array("_new")))
     changed = F.col("_new") != original
     return (
         rows.where((F.col("copy") == 0) | changed)

@@ -281,3 +281,20 @@ def test_similar_rows_are_scored_for_few_pairs():
         search.add(np.arange(low, low + 100), np.array([len(t) for t in part]), np.zeros(100, np.int64), pa.array(part))
     assert search.found[0].tolist() == list(range(50)) and search.found[2].tolist() == list(range(0, 1000, 20))
     assert search.scored < 0.2 * 3000 * 50
+
+
+def test_copies_are_made_once(rows):
+    """The condition on changed copies does not have their text made again."""
+    spark = rows([(1,)], "id long").sparkSession
+    df = spark.range(20).selectExpr("id", "concat('the good ', id) AS text")
+    plan = G.augment(df, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" in plan and not any("md5" in line for line in plan.splitlines() if "Filter " in line)
+
+
+def test_absent_token_features_are_left_out_by_compiled_code(rows):
+    df = rows([(1, ["New", "York", None])], "id long, tokens array<string>")
+    cols = [F.col(c) for c in ("token", "prev1", "prev2", "next1", "next2")]
+    out = Q.token_rows(df).select("pos", Q.token_features(*cols).alias("f"))
+    assert "array_compact" not in out._jdf.queryExecution().analyzed().toString()
+    found = dict(values(out, "pos", "f"))
+    assert "BOS" in found[0] and "nw=york" in found[0] and "bigram=new|york" in found[1] and None not in found[2] and "len=10" in found[2]
