@@ -1,4 +1,7 @@
+import math
+import re
 import threading
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -197,3 +200,41 @@ def test_forests_get_partitions_of_bounded_rows(rows, monkeypatch):
     shared.fit(Forest(numTrees=2, maxDepth=2, featuresCol="features", labelCol="_label"))
     shared.release()
     assert seen == [20]
+
+
+def _tfidf(documents, common, monkeypatch):
+    """The rows of :func:`ml.tfidf` by brute force, of rows with repeated and absent ids."""
+    monkeypatch.setattr(ml, "COMMON_TERMS", common)
+    monkeypatch.setattr(ml, "TERMS_AT_ONCE", 2)
+    counts = {}
+    for key, text in documents:
+        counts.setdefault(key, Counter()).update(re.findall(r"[^ \t\n\x0b\f\r]+", (text or "").lower()))
+    df = Counter(term for found in counts.values() for term in found)
+    return {
+        (key, term): (n, n * math.log((len(documents) + 1) / (df[term] + 1)))
+        for key, found in counts.items() for term, n in found.items()
+    }
+
+
+DOCUMENTS = [
+    (1, "The cat the cat\tTHE"), (2, " the \n\x0bdog\x1cdog Été "), (3, None), (4, ""), (1, "the dog  cat"), (None, "the bird"), (5, "rare the dog"),
+    (None, "bird été"), (6, "\x0c \r"), (1, "dog"), (7, "the été other"),
+]
+
+
+@pytest.mark.parametrize("common", [0, 5, 8, 1000])
+def test_tfidf_of_common_and_rare_terms(rows, monkeypatch, common):
+    expected = _tfidf(DOCUMENTS, common, monkeypatch)
+    df = rows(DOCUMENTS, "doc long, body string")
+    found = ml.tfidf(df, "doc", "body").collect()
+    assert len(found) == len(expected)
+    for r in found:
+        tf, weight = expected[r["doc"], r["term"]]
+        assert r["tf"] == tf and r["weight"] == pytest.approx(weight)
+
+
+def test_tfidf_does_not_shuffle_words_of_documents(rows):
+    plan = ml.tfidf(rows(DOCUMENTS, "id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and not re.search(r"hashpartitioning\(id#\w+, term#", plan)
+    # Common terms have their frequency where they were counted.
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
