@@ -4,14 +4,16 @@ import threading
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.classification import RandomForestClassifier
 from conftest import values
 from pyspark.sql import functions as F
 
+from datamill.functions.hashing import draw
 from datamill.operators import metrics as M, ml, sequences as Q
 from datamill.operators.active import dropout_uncertainty
-from datamill.operators.tagger import Tagger, best_path, best_paths, train_tagger
+from datamill.operators.tagger import Lists, Tagger, _packed, best_path, best_paths, doubts, hash_texts, train_tagger
 
 GOOD, BAD = "great lovely product works well", "terrible awful broken waste money"
 
@@ -168,6 +170,86 @@ def test_paths_side_by_side_are_those_one_by_one():
             assert (one == path[cuts[k]:cuts[k + 1]]).all() and (score == scores[k]).all() and (score == plain).all()
 
 
+def test_texts_are_hashed_as_by_spark(rows):
+    texts = ["", "a", "abcd", "bigram=a|b", "é" * 9, "12345678", "x" * 31, "y" * 32, "z" * 45, "ß" * 100]
+    want = [r[0] for r in rows([(i, t) for i, t in enumerate(texts)], "id int, t string").orderBy("id").select(F.xxhash64("t")).collect()]
+    assert hash_texts(pa.array([t.encode() for t in texts])).tolist() == want
+
+
+def test_features_are_made_once_for_a_word(rows):
+    """Packed words give every token the features that it has by itself; absent tokens and rows and the ends of rows too."""
+    data = [(1, ["Ann", "saw", "Ann", "x" * 40]), (2, []), (3, None), (4, ["-"]), (5, ["a", None, "É1", "a"])]
+    df = rows(data, "id int, tokens array<string>").coalesce(1)
+    feats = F.transform(Q.token_features(*map(F.col, ("token", "prev1", "prev2", "next1", "next2"))), lambda f: F.pmod(F.xxhash64(f), F.lit(4096)))
+    want = [sorted(r[0]) for r in Q.token_rows(df.where("id <> 3")).orderBy("id", "pos").select(feats).collect()]
+    batch = _packed(df, 4096).toArrow().to_batches()[0]
+    lists = Lists.of(batch, 0, 4096)
+    got = lists.features(0, len(lists.codes))
+    assert [sorted(int(x) for x in line if x < 4096) for line in got] == want
+    weights = np.concatenate([np.random.default_rng(0).normal(size=(4096, 3)), np.zeros((1, 3))])
+    assert np.allclose(lists.emissions(weights, 0, 5), weights[got].sum(axis=1))
+
+
+def test_a_path_without_doubts_is_the_best(rows):
+    rng = np.random.default_rng(2)
+    sure = 0
+    for k in range(300):
+        sizes = rng.integers(0, 7, 5)
+        cuts = np.concatenate([[0], np.cumsum(sizes)])
+        emit, moves = 3 * rng.normal(size=(cuts[-1], 3)), rng.normal(size=(4, 3))
+        best, _ = best_paths(emit, cuts, moves)
+        path = np.where(rng.random(len(best)) < 0.1, rng.integers(0, 3, len(best)), best)
+        places = doubts(emit, cuts, moves, path)
+        for low, high in zip(cuts, cuts[1:]):
+            right = (path[low:high] == best[low:high]).all()
+            assert right == (not ((places >= low) & (places < high)).any())
+            sure += bool(right and high > low)
+    assert sure > 300
+
+
+def test_wrong_sequences_are_learned_one_after_the_other(rows):
+    """Looking ahead gives the weights of plain passes, which decode every sequence."""
+    rng = np.random.default_rng(3)
+    data = []
+    for i in range(300):
+        tokens = [rng.choice(["Ann", "Bob", "x", "yy", "zz1", "É"]) + str(rng.integers(0, 4)) for _ in range(rng.integers(1, 30) if i % 50 else 500)]
+        data.append((i, tokens, ["B" if t[0].isupper() and rng.random() < 0.95 else "O" for t in tokens]))
+    df = rows(data, "id long, tokens array<string>, tags array<string>")
+    model = train_tagger(df, ["O", "B"], epochs=3, slots=512, shards=1)
+    batch = _packed(df.repartition(1, "id").sortWithinPartitions(draw("id", "order")).select("id", "tokens"), 512).toArrow().to_batches()[0]
+    lists, tags = Lists.of(batch, 0, 512), {r[0]: np.array([t == "B" for t in r[2]], np.int64) for r in data}
+    weights, moves, total = np.zeros((513, 2)), np.zeros((3, 2)), [np.zeros((513, 2)), np.zeros((3, 2))]
+    for _ in range(3):
+        lag, seen, old = [np.zeros((513, 2)), np.zeros((3, 2))], 0, [weights.copy(), moves.copy()]
+        for k, i in enumerate(batch.column("id")[0].values.to_pylist()):
+            begin, end = lists.rows[k:k + 2]
+            feats, gold = lists.features(begin, end), tags[i]
+            path, _ = best_path(lists.emissions(weights, k, k + 1), moves)
+            for at in np.flatnonzero(path != gold):
+                for tag, sign in ((gold[at], 1.0), (path[at], -1.0)):
+                    there = feats[at][feats[at] < 512]
+                    np.add.at(weights, (there, tag), sign)
+                    np.add.at(lag[0], (there, tag), sign * seen)
+            if (path != gold).any():
+                for way, sign in ((gold, 1.0), (path, -1.0)):
+                    step = (np.concatenate([[2], way[:-1]]), way)
+                    np.add.at(moves, step, sign)
+                    np.add.at(lag[1], step, sign * seen)
+            seen += 1
+        for t, w, l in zip(total, (weights, moves), lag):
+            t += w - l / seen
+    assert np.allclose(model.weights, total[0][:-1] / 3) and np.allclose(model.moves, total[1] / 3)
+
+
+def test_sequences_that_do_not_fit_their_tags_do_not_count(rows):
+    data = [(1, ["Rome", "is"], ["B-L", "O"]), (2, ["Rome"], ["O", "O"]), (3, [], []), (4, None, None), (5, ["Rome"], None)]
+    kind = "id long, tokens array<string>, tags array<string>"
+    few, all_rows = (train_tagger(rows(d, kind), ["O", "B-L"], epochs=2, slots=64, shards=1) for d in (data[:1], data))
+    assert np.array_equal(few.weights, all_rows.weights)
+    found = {r["id"]: r["tags"] for r in all_rows.predict(rows(data, kind)).collect()}
+    assert found[1] == ["B-L", "O"] and found[3] == [] and found[4] == []
+
+
 def _talk(n):
     return [(i, ("good fine nice " if i % 2 else "bad poor sad ") * 3, "pos" if i % 2 else "neg") for i in range(n)]
 
