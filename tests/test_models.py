@@ -10,10 +10,10 @@ from pyspark.ml.classification import RandomForestClassifier
 from conftest import values
 from pyspark.sql import functions as F
 
-from datamill.functions.hashing import draw
+from datamill.functions.hashing import draw, hash_texts
 from datamill.operators import metrics as M, ml, sequences as Q
 from datamill.operators.active import dropout_uncertainty
-from datamill.operators.tagger import Lists, Tagger, _packed, best_path, best_paths, doubts, hash_texts, train_tagger
+from datamill.operators.tagger import Lists, Tagger, _packed, best_path, best_paths, doubts, train_tagger
 
 GOOD, BAD = "great lovely product works well", "terrible awful broken waste money"
 
@@ -254,6 +254,28 @@ def _talk(n):
     return [(i, ("good fine nice " if i % 2 else "bad poor sad ") * 3, "pos" if i % 2 else "neg") for i in range(n)]
 
 
+def test_commonest_terms_are_those_of_a_plain_count(rows, monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [[f"w{int(x)}" for x in rng.zipf(1.5, rng.integers(0, 40)) if x < 60] for _ in range(200)]
+    plain = Counter(w for t in texts for w in t) + Counter(f"{a} {b}" for t in texts for a, b in zip(t, t[1:]))
+    want = [t for t, _ in sorted(plain.items(), key=lambda x: (-x[1], x[0]))]
+    df = rows([(t,) for t in texts] + [([],)], "_words array<string>").repartition(3)
+    for hashes in (4, 64, 1 << 20):
+        monkeypatch.setattr(ml, "PAIR_HASHES", hashes)
+        for most in (5, 40, 10**5):
+            assert ml.commonest_terms(df, most) == want[:most]
+
+
+def test_a_limit_that_is_not_reached_needs_no_fit_of_its_own(sentiment, monkeypatch):
+    train, val = sentiment
+    fitted, plain = [], ml.classifier
+    monkeypatch.setattr(ml, "classifier", lambda a, p, n: fitted.append(p) or plain(a, p, n))
+    found = ml.grid_search(train, val, grid={"C": [0.1, 1.0], "max_iter": [2, 500, 1000]})
+    assert [(p["C"], p["max_iter"]) for p in sorted(fitted, key=str)] == [(0.1, 1000), (0.1, 2), (1.0, 1000), (1.0, 2)]
+    assert sorted((r["params"]["C"], r["params"]["max_iter"]) for r in found) == [(c, i) for c in (0.1, 1.0) for i in (2, 500, 1000)]
+    assert all(r["error"] is None and r["model"] is not None for r in found)
+
+
 def test_terms_that_occur_equally_often_come_in_order(rows):
     df = rows([(1, "zz yy xx"), (2, "yy zz"), (3, None)], "id long, text string")
     stages, found = ml.fit_text(df.where("text IS NOT NULL"), ["id"], 3)
