@@ -10,7 +10,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from conftest import values
 from pyspark.sql import functions as F
 
-from datamill.functions.hashing import draw, hash_texts
+from datamill.functions.hashing import draw, drawn_from, hash_texts
 from datamill.operators import metrics as M, ml, sequences as Q
 from datamill.operators.active import dropout_uncertainty
 from datamill.operators.tagger import Lists, Tagger, _packed, best_path, best_paths, doubts, train_tagger
@@ -254,6 +254,22 @@ def _talk(n):
     return [(i, ("good fine nice " if i % 2 else "bad poor sad ") * 3, "pos" if i % 2 else "neg") for i in range(n)]
 
 
+def test_a_draw_is_compared_as_its_number(spark):
+    df = spark.range(2000).selectExpr("cast(id AS string) AS k")
+    at = df.select(draw("k", "s")).first()[0]
+    for least in (0.0, 0.3, at, math.nextafter(at, 1), 0.999, 1.0):
+        assert df.where((draw("k", "s") >= least) != drawn_from("k", "s", least)).isEmpty()
+    assert spark.sql("SELECT cast(NULL AS string) AS k").where(drawn_from("k", "s", 0.0)).isEmpty()
+
+
+def test_features_meet_their_weights_without_a_shuffle(rows):
+    df = rows([(i, GOOD if i % 2 else BAD, float(i % 2)) for i in range(20)], "id long, text string, value double")
+    feats, weights = ml.scorer_weights(ml.train_scorer(df, steps=5, hash_size=64), df)
+    found = dropout_uncertainty(feats, weights)
+    assert found.count() == 20
+    assert "SortMergeJoin" not in found._jdf.queryExecution().toString()
+
+
 def test_commonest_terms_are_those_of_a_plain_count(rows, monkeypatch):
     rng = np.random.default_rng(4)
     texts = [[f"w{int(x)}" for x in rng.zipf(1.5, rng.integers(0, 40)) if x < 60] for _ in range(200)]
