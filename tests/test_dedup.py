@@ -298,3 +298,11 @@ def test_components(rows):
     edges = [(i, i + 1) for i in range(200)] + [(300, 400), (350, 400), (401, 500)]
     got = dict(values(FW.components(rows(edges, "lo long, hi long")), "node", "component"))
     assert got == {**{i: 0 for i in range(201)}, 300: 300, 350: 300, 400: 300, 401: 401, 500: 401}
+
+
+def test_rows_of_one_size_are_copied_once_while_they_fit_a_task(spark):
+    """What is shuffled for the comparison grows with the copies of a row."""
+    sets = object.__new__(D.GramSets)
+    sets.threshold = 0.85
+    rows, tasks = sets._passing(spark.range(40_000).selectExpr("id AS ord", "100 AS n", "array(0L) AS bits"))
+    assert tasks == 1 and {r["home"]: r["count"] for r in rows.groupBy("home").count().collect()} == {True: 40_000, False: 40_000}
