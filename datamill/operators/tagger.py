@@ -24,8 +24,10 @@ from datamill.operators.sequences import lower_features
 from datamill.session import spread
 
 SLOTS, EPOCHS = 1 << 18, 10
-#: Tokens of sequences packed and decoded side by side, pairs of words hashed at once, and tags up to which plain numbers are faster than arrays.
-TOKENS, GATHERED, FEW_TAGS = 1 << 19, 1 << 16, 6
+#: Tokens of sequences packed and decoded side by side, and packed to be learned, where the executors' memory also holds two workers for a task.
+TOKENS, LEARNED = 1 << 19, 1 << 17
+#: Pairs of words hashed at once, and tags up to which plain numbers are faster than arrays.
+GATHERED, FEW_TAGS = 1 << 14, 6
 #: A word's own features, and most sequences that a shard looks ahead.
 OWN, AHEAD = 11, 512
 #: Tokens that a better path is followed along, tokens around a doubt that are decoded, and tokens of a sequence from which this is faster.
@@ -50,14 +52,16 @@ def word_slots(words: str, lower: str, slots: int = SLOTS) -> Column:
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches of ``tokens`` and other columns as one row each: the distinct words, with an absent one at the end, and what numbers them."""
     for batch in batches:
+        most = TOKENS
         if "gold" in batch.schema.names:
+            most = LEARNED
             # Only sequences with tokens, and a tag for each.
             sizes = [batch.column(c).value_lengths().fill_null(0) for c in ("tokens", "gold")]
             batch = batch.filter(pc.and_(pc.equal(*sizes), pc.greater(sizes[0], 0)))
         low, n = 0, batch.column("tokens").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(n, dtype=np.int64)
         while low < batch.num_rows:
-            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + TOKENS, side="right")))
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + most, side="right")))
             part = batch.slice(low, high - low)
             tokens = part.column("tokens")
             found = tokens.flatten().dictionary_encode()
